@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid
+from millrace.llm import langid, linecrf, packing
 from millrace.session import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -15,7 +15,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs).where("lang_id_keep").select(*COLUMNS)
 
 
-STAGES = [("language_id", language_id)]
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents most of whose text lies in content lines."""
+    weights, moves = linecrf.fit(docs, table(spark, sf_dir, "labels"))
+    return linecrf.assess(docs, weights, moves).where("quality_keep").select(*COLUMNS)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of consecutive sentences, as spans of the documents."""
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("packing", pack_windows)]
 
 ORACLE_SQL = None
 

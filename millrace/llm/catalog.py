@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import table
 
-from . import langid
+from . import langid, linecrf, packing
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +15,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "lang", "lang_id_lang", "lang_id_cosine", "lang_id_keep")
 
 
-QUERIES = {"op1_language_id": op1_language_id}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights, moves = linecrf.fit(docs, table(spark, sf_dir, "labels"))
+    return linecrf.assess(docs, weights, moves).drop("text")
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_packing": op3_packing,
+    "op8_quality_rules": op8_quality_rules,
+}
 ORACLES: dict[str, str] = {}
