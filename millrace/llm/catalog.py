@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import table
 
-from . import langid, linecrf, packing
+from . import jaccard, langid, linecrf, packing
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +25,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linecrf.assess(docs, weights, moves).drop("text")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_packing": op3_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_ngram_jaccard": jaccard.ORACLE}
