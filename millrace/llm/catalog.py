@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import table
 
-from . import jaccard, langid, linecrf, packing
+from . import jaccard, langid, linecrf, packing, passages
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights, moves = linecrf.fit(docs, table(spark, sf_dir, "labels"))
@@ -32,6 +36,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_packing": op3_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
