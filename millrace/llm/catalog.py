@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import table
 
-from . import jaccard, langid, linecrf, packing, passages
+from . import chat, jaccard, langid, linecrf, packing, passages, pieces
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.windows(table(spark, sf_dir, "conversations"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights, moves = linecrf.fit(docs, table(spark, sf_dir, "labels"))
@@ -37,6 +45,8 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_chat_windows": op7_chat_windows,
     "op8_quality_rules": op8_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
