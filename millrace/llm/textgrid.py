@@ -92,14 +92,15 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[
         begin = stop
 
 
-def words(texts: pa.Array, lower: bool = True) -> Words:
-    """The words of every text in order, with their hashes."""
+def words(texts: pa.Array, lower: bool = True, solid: np.ndarray | None = None) -> Words:
+    """The words of every text in order, with their hashes. solid says for each
+    of the 256 bytes whether it belongs to words."""
     buf, off = flat(texts, lower)
     n, docs = len(buf), len(off) - 1
     if not n:
         none = np.zeros(0, np.int64)
         return Words(buf, off, none, none, np.zeros(docs + 1, np.int64), np.zeros(0, np.uint64))
-    solid = ~_SPACE[buf]
+    solid = ~_SPACE[buf] if solid is None else solid[buf]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     begins = solid.copy()
