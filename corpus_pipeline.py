@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import langid, linecrf, packing
+from millrace.llm import jaccard, langid, linecrf, packing, passages
 from millrace.session import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,12 +24,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return linecrf.assess(docs, weights, moves).where("quality_keep").select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of least id, of each group of linked near copies."""
+    return jaccard.keep_one(docs).select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated passages; those that consist of them go."""
+    cut = passages.dedup(docs).where("passages_removed_words = 0 or passages_removed_words < passages_words")
+    return cut.withColumn("n_chars", F.when(F.col("passages_removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of consecutive sentences, as spans of the documents."""
     return packing.pack(docs)
 
 
-STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("packing", pack_windows)]
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("packing", pack_windows),
+]
 
 ORACLE_SQL = None
 
@@ -34,7 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    root = f"{shared_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{id(docs)}"
+    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{root}/{k}-{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)

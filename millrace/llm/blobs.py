@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that a task holds before it sends them on.
+FLUSH = 24 << 20
 Columns = dict[str, np.ndarray]
 
 
@@ -27,7 +29,8 @@ def fragment(key: np.ndarray, parts: int) -> np.ndarray:
 
 def send(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[Columns]], kinds: dict[str, str], parts: int) -> DataFrame:
     """df turned into packed columns by rows, shuffled by the 64-bit column key.
-    kinds: numpy type of each column; key is one of them."""
+    kinds: numpy type of each column; key is one of them, and if its type is
+    narrower, its low bits are sent."""
     names = list(kinds)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +43,7 @@ def send(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[Colu
             part = fragment(cols["key"], parts)
             order = np.argsort(part, kind="stable")
             bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            cols = {c: v[order] for c, v in cols.items()}
+            cols = {c: v[order].astype(kinds[c], copy=False) for c, v in cols.items()}
             some = np.flatnonzero(np.diff(bounds))
             for group in np.array_split(some, max(1, len(some) // 256)):
                 if len(group):
@@ -49,11 +52,11 @@ def send(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[Colu
                     yield pa.RecordBatch.from_arrays(out, names=["part", *names])
 
         for cols in rows(batches):
-            cols = {c: np.ascontiguousarray(cols[c], kinds[c]) for c in names}
+            cols = {c: np.ascontiguousarray(cols[c], "<u8" if c == "key" else kinds[c]) for c in names}
             if len(cols["key"]):
                 held.append(cols)
                 size += sum(v.nbytes for v in cols.values())
-                if size > 48 << 20:
+                if size > FLUSH:
                     yield from flush()
                     size = 0
         if held:

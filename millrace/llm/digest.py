@@ -99,7 +99,7 @@ def differences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out += steps(np.minimum(gap, 16 - gap))
     out += x[:, None, 0] != y[None, :, 0]
     for k in range(3, 35):
-        out += _BYTE_DISTANCE[a[:, None, k].astype(np.int32) * 1, b[None, :, k].astype(np.int32)]
+        out += _BYTE_DISTANCE[a[:, None, k].astype(np.int32), b[None, :, k].astype(np.int32)]
     return np.minimum(out, MAX_DIFFERENCE)
 
 
@@ -161,7 +161,7 @@ def _nearest_in_blocks(docs: DataFrame, refs: DataFrame, digest: str) -> DataFra
     size = 200_000
     blocks = refs.withColumn("block", F.pmod(F.xxhash64("reference_id"), F.lit(max(1, refs.count() // size))))
     asked = docs.select(F.col(f"`{digest}`").alias("digest")).where("digest is not null").distinct()
-    met = asked.crossJoin(blocks.select("block").distinct()).withColumnRenamed("digest", "asked")
+    met = asked.crossJoin(blocks.select(F.col("block").alias("part")).distinct()).withColumnRenamed("digest", "asked")
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by([("reference_id", "ascending"), ("digest", "ascending")])
@@ -173,6 +173,6 @@ def _nearest_in_blocks(docs: DataFrame, refs: DataFrame, digest: str) -> DataFra
         score = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
         return pa.table({"asked": pa.array(texts, pa.string()), "difference": pa.array(score, pa.int32()), "nearest_id": pa.array(ids[best], pa.int64())})
 
-    found = met.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(compare, "asked string, difference int, nearest_id long")
+    found = met.groupBy("part").cogroup(blocks.groupBy("block")).applyInArrow(compare, "asked string, difference int, nearest_id long")
     least = found.groupBy("asked").agg(F.min(F.struct("difference", "nearest_id")).alias("least")).select(F.col("asked").alias(digest), "least.nearest_id", "least.difference")
     return docs.drop("nearest_id", "difference").join(least, digest, "left")

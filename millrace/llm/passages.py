@@ -7,9 +7,10 @@
 2. MinHash banding. bands x rows minima over the paragraph's word bigrams; a
    pair at Jaccard 0.8 meets in one of 3 bands of 2 rows with probability 0.95,
    equal paragraphs always do.
-3. Distinct paragraphs that collide in a band are joined and verified by the
-   exact Jaccard of their bigram sets: each is compared with the leaders of its
-   bucket and becomes a leader itself if none is similar enough.
+3. Distinct paragraphs that collide in a band are joined. Bit maps of the sets
+   rule out most pairs without loss; the rest are verified by the
+   exact Jaccard of their bigram sets: small buckets together by counting shared
+   bigrams, large ones by matrix products.
 4. Verified pairs are clustered by connected components. Of every cluster the
    first occurrence (by doc_id, then place) stays and all others may go.
 5. Occurrences go if they form a run of at least min_run words, so that short
@@ -37,16 +38,17 @@ from pyspark.sql import functions as F
 
 from millrace.session import shared_dir
 
-from . import blobs, graph
+from . import blobs, graph, jaccard
 from . import textgrid as tg
 
 U = np.uint64
 BROADCAST_KEYS = 8_000_000
 BROADCAST_ROWS = 500_000
+TILE = 1024
 _Q = 0xC2B2AE3D27D4EB4F
 _Q_INV = pow(_Q, -1, 1 << 64)
 _SALTS = np.random.default_rng(41).integers(1, 1 << 63, 64).astype(np.uint64)
-BAND = {"key": "<u8", "content": "<u8"}
+BAND = {"key": "<u4", "content": "<u8", "bits": "<u4", "items": "<u2"}
 PLACE = {"key": "<u8", "doc": "<i8", "sign": "<u4", "at": "<i4", "words": "<i4"}
 
 
@@ -93,6 +95,11 @@ class Paragraphs:
             out.append(key)
         return out
 
+    def bits(self) -> np.ndarray:
+        """A 32-bit map of each paragraph's items. Two maps differ in no more
+        bits than the sets in items."""
+        return np.bitwise_or.reduceat(np.uint32(1) << (self.items >> U(59)).astype(np.uint32), self.begin)
+
     def signs(self) -> np.ndarray:
         """A 32-bit hash of each document's words."""
         h = self.words.hash
@@ -116,36 +123,64 @@ def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.n
     return sorted_keys[at] == keys, at
 
 
-def collisions(docs: DataFrame, parts: int, radius: int, bands: int, rows: int) -> DataFrame:
-    """(bucket, content) of all buckets with more than one distinct content."""
+def _close(bits: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of a bucket may have a partner at the threshold, by their maps.
+    For sets a and b, |a ^ b| <= (1 - t) / (1 + t) * (|a| + |b|). The last axis
+    of bits and size is the bucket."""
+    share = np.float32((1 - threshold) / (1 + threshold))
+    gap = np.bitwise_count(bits[..., :, None] ^ bits[..., None, :])
+    near = gap <= share * (size[..., :, None] + size[..., None, :]) + np.float32(1e-3)
+    return near.sum(axis=-1) > 1
+
+
+def collisions(docs: DataFrame, parts: int, radius: int, bands: int, rows: int, threshold: float) -> DataFrame:
+    """(bucket, content) of the distinct contents of each bucket that may have a
+    partner in it."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[blobs.Columns]:
         for _, p in _cut(batches, radius):
             content = p.contents()
             content, one = np.unique(content, return_index=True)
+            bits, items = p.bits()[one], np.minimum((p.stop - p.begin)[one], 65535)
             for key in p.bands(bands, rows):
-                yield {"key": key[one], "content": content}
+                yield {"key": key[one], "content": content, "bits": bits, "items": items}
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = blobs.receive(batches, BAND)
+        # Most rows are alone with their key; these go before the full sort.
         order = np.argsort(c["key"], kind="stable")
-        key, content = c["key"][order], c["content"][order]
-        several = np.zeros(len(key), bool)
-        bounds = blobs.runs(key)
-        if len(key):
-            low, high = np.minimum.reduceat(content, bounds[:-1]), np.maximum.reduceat(content, bounds[:-1])
-            several = np.repeat(low != high, np.diff(bounds))
-        key, content = key[several], content[several]
-        order = np.lexsort((content, key))
-        key, content = key[order], content[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-        at = np.flatnonzero(new)
+        size = np.diff(blobs.runs(c["key"][order])) if len(order) else np.zeros(0, np.int64)
+        order = order[np.repeat(size > 1, size)]
+        c = {k: v[order] for k, v in c.items()}
+        order = np.lexsort((c["content"], c["key"]))
+        c = {k: v[order] for k, v in c.items()}
+        new = np.ones(len(order), bool)
+        new[1:] = (c["key"][1:] != c["key"][:-1]) | (c["content"][1:] != c["content"][:-1])
+        c = {k: v[new] for k, v in c.items()}
+        bounds = blobs.runs(c["key"])
+        size = np.diff(bounds)
+        keep = np.zeros(len(c["key"]), bool)
+        # The item counts bound the sets' sizes from above: repeats only widen.
+        items = c["items"].astype(np.float32)
+        for s in np.unique(size[size > 1]):
+            heads = bounds[:-1][size == s]
+            step = max(1, (1 << 22) // int(s * s))
+            if s <= 2048:
+                for a in range(0, len(heads), step):
+                    at = heads[a : a + step, None] + np.arange(s)
+                    keep[at] = _close(c["bits"][at], items[at], threshold)
+            else:
+                for h in heads:
+                    keep[h : h + s] = True
+        at = np.flatnonzero(keep)
+        bucket = c["key"].astype(np.uint64)
         for a in range(0, len(at), 1 << 16):
             some = at[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(content[some].view(np.int64))], names=["bucket", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[some].view(np.int64)), pa.array(c["content"][some].view(np.int64))], names=["bucket", "content"])
 
-    return blobs.send(docs, send, BAND, parts).mapInArrow(meet, "bucket long, content long")
+    found = blobs.send(docs, send, BAND, parts).mapInArrow(meet, "bucket long, content long")
+    # Keys are sent without their high bits, which the partition stands for.
+    return found.withColumn("bucket", F.xxhash64("bucket", F.spark_partition_id()))
 
 
 def verified(docs: DataFrame, met: DataFrame, parts: int, radius: int, threshold: float) -> DataFrame:
@@ -176,24 +211,35 @@ def verified(docs: DataFrame, met: DataFrame, parts: int, radius: int, threshold
         if not rows.num_rows:
             return
         bucket, content = rows.column("bucket").to_numpy(), rows.column("content").to_numpy()
-        items = rows.column("items").combine_chunks()
         order = np.lexsort((content, bucket))
-        bounds = blobs.runs(bucket[order])
+        bucket, content = bucket[order], content[order]
+        items = rows.column("items").combine_chunks()
+        items = [np.frombuffer(items[int(i)].as_buffer(), "<u8") for i in order]
+        size = np.array([len(i) for i in items])
+        bounds = blobs.runs(bucket)
         x, y = [], []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            leaders: list[tuple[int, np.ndarray]] = []
-            for i in order[a:b]:
-                own = np.frombuffer(items[int(i)].as_buffer(), "<u8")
-                for j, other in leaders:
-                    if min(len(own), len(other)) < threshold * max(len(own), len(other)):
-                        continue
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if both >= threshold * (len(own) + len(other) - both) - 1e-9:
-                        x.append(content[i])
-                        y.append(content[j])
-                        break
-                else:
-                    leaders.append((int(i), own))
+        wide = np.diff(bounds) >= jaccard.DENSE_FROM
+        for a, b in zip(bounds[:-1][wide], bounds[1:][wide]):
+            # Tiles keep the matrices small, however large the bucket.
+            for p in range(a, b, TILE):
+                for q in range(p, b, TILE):
+                    left, right = slice(p, min(b, p + TILE)), slice(q, min(b, q + TILE))
+                    over = jaccard.dense_overlap(items[left], items[right], False, 1024)
+                    over *= np.float32(1 + threshold)
+                    over -= np.float32(threshold) * size[left].astype(np.float32)[:, None]
+                    over -= np.float32(threshold) * size[right].astype(np.float32)[None, :]
+                    i, j = np.nonzero(over >= -1e-3)
+                    i, j = graph.stars(i + p, j + q)
+                    x.append(i)
+                    y.append(j)
+        few = np.flatnonzero(~np.repeat(wide, np.diff(bounds)))
+        if len(few):
+            doc = np.repeat(few, size[few])
+            i, j, over = jaccard.sparse_overlap(np.repeat(bucket[few], size[few]), doc, np.concatenate([items[k] for k in few]), 1)
+            hit = over >= threshold * (size[i] + size[j] - over) - 1e-9
+            x.append(i[hit])
+            y.append(j[hit])
+        x, y = graph.stars(content[np.concatenate(x)], content[np.concatenate(y)])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["node", "root"])
 
     found = docs.mapInArrow(sets, "content long, items binary").groupBy("content").agg(F.first("items").alias("items"))
@@ -296,7 +342,7 @@ def dedup(
     shared_dir(spark)
     parts = blobs.width(spark)
     plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null")
-    met = collisions(plain, parts, radius, bands, rows).checkpoint()
+    met = collisions(plain, parts, radius, bands, rows, threshold).checkpoint()
     clusters = graph.components(spark, verified(plain, met, parts, radius, threshold))
     gone = removable(plain, clusters, parts, radius, min_run).checkpoint()
     lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("sign", "gone")).alias("gone"))
