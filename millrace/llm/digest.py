@@ -164,6 +164,8 @@ def _nearest_in_blocks(docs: DataFrame, refs: DataFrame, digest: str) -> DataFra
     met = asked.crossJoin(blocks.select(F.col("block").alias("part")).distinct()).withColumnRenamed("digest", "asked")
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"asked": pa.array([], pa.string()), "difference": pa.array([], pa.int32()), "nearest_id": pa.array([], pa.int64())})
         right = right.sort_by([("reference_id", "ascending"), ("digest", "ascending")])
         ids = right.column("reference_id").to_numpy()
         table = np.frombuffer(bytes.fromhex("".join(right.column("digest").to_pylist())), np.uint8).reshape(-1, 35)

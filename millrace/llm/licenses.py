@@ -162,8 +162,8 @@ class Scanner:
                     tries = {}
                     for p in place[a:b]:
                         for q in self.offsets[t][int(w.hash[p])]:
-                            begin = max(low, int(p) - q - size // 8)
-                            tries[begin] = min(high, int(p) - q + size + size // 8)
+                            begin = max(low, int(p) - q - size // 4)
+                            tries[begin] = min(high, int(p) - q + size + size // 4)
                 hits = []
                 for begin, end in tries.items():
                     pairs = align(w.hash[begin:end].tolist(), self.words[t])
