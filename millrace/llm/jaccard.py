@@ -227,9 +227,10 @@ def _verify(threshold: float, fragments: int, forest: bool):
         return overlap >= threshold * (size[x] + size[y] - overlap) - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        rows = pa.Table.from_batches(held)
         cols = {c: rows.column(c).to_numpy() for c in ("root", "low", "high", "side", "node")}
         order = np.lexsort((cols["node"], cols["side"], cols["high"], cols["low"], cols["root"]))
         cols = {c: v[order] for c, v in cols.items()}

@@ -207,9 +207,10 @@ def verified(docs: DataFrame, met: DataFrame, parts: int, radius: int, threshold
             yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(packed, pa.binary())], names=["content", "items"])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        rows = pa.Table.from_batches(held)
         bucket, content = rows.column("bucket").to_numpy(), rows.column("content").to_numpy()
         order = np.lexsort((content, bucket))
         bucket, content = bucket[order], content[order]
