@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .memory import tidy
+
 #: Bytes that a task holds before it sends them on.
 FLUSH = 24 << 20
 Columns = dict[str, np.ndarray]
@@ -62,7 +64,7 @@ def send(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[Colu
         if held:
             yield from flush()
 
-    packed = df.mapInArrow(pack, "part int, " + ", ".join(f"{c} binary" for c in names))
+    packed = df.mapInArrow(tidy(pack), "part int, " + ", ".join(f"{c} binary" for c in names))
     return packed.repartitionById(parts, "part")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import textgrid as tg
+from .memory import tidy
 
 
 def append(
@@ -43,4 +44,4 @@ def append(
                 out = f(part.column(n), [part.column(n + 1 + i) for i in range(len(inputs))])
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *out], names=fields)
 
-    return flat.mapInArrow(run, schema).toDF(*names, *added)
+    return flat.mapInArrow(tidy(run), schema).toDF(*names, *added)

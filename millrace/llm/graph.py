@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from millrace.session import shared_dir
 
+from .memory import tidy
+
 ONE_TASK_EDGES = 4_000_000
 
 
@@ -66,9 +68,9 @@ def components(spark: SparkSession, edges: DataFrame, one_task_edges: int = ONE_
     a, b = edges.columns
     edges = edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("root")).where("node is not null and root is not null")
     loops = edges.where("node = root")
-    left = edges.where("node <> root").mapInArrow(_forest, "node long, root long").checkpoint()
+    left = edges.where("node <> root").mapInArrow(tidy(_forest), "node long, root long").checkpoint()
     if left.count() <= one_task_edges:
-        tree = left.coalesce(1).mapInArrow(_forest, "node long, root long")
+        tree = left.coalesce(1).mapInArrow(tidy(_forest), "node long, root long")
     else:
         tree = _star_rounds(left)
     roots = tree.select(F.col("root").alias("node"), "root").union(loops.select("node", F.col("node").alias("root")).join(tree.select("node"), "node", "left_anti"))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import blobs, frames
 from . import textgrid as tg
+from .memory import tidy
 
 END, UNKNOWN, SPECIAL = 0, 1, 2
 #: Bytes of text whose documents share one set of lanes.
@@ -86,7 +87,7 @@ def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
         best = np.lexsort((key, -n))[:size]
         yield pa.RecordBatch.from_arrays([pa.array(key[best].view(np.int64)), pa.array(n[best])], names=["word", "n"])
 
-    found = blobs.send(docs, count, COUNT, parts).mapInArrow(add, "word long, n long")
+    found = blobs.send(docs, count, COUNT, parts).mapInArrow(tidy(add), "word long, n long")
     rows = found.orderBy(F.desc("n"), "word").limit(size).collect()
     return np.array([r["word"] for r in rows], np.int64).view(np.uint64)
 
@@ -352,7 +353,7 @@ def train(docs: DataFrame, vocab: np.ndarray, shape: Shape, rounds: int = 2, rat
             mean = (total / seen).astype("<f4").tobytes()
             return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "mean": pa.array([mean], pa.binary())})
 
-        rows = docs.mapInArrow(learn, "block int, sums binary, tokens long").groupBy("block").applyInArrow(add, "block int, mean binary").collect()
+        rows = docs.mapInArrow(tidy(learn), "block int, sums binary, tokens long").groupBy("block").applyInArrow(add, "block int, mean binary").collect()
         held.unpersist()
         if rows:
             net = _unpacked(b"".join(bytes(r["mean"]) for r in sorted(rows, key=lambda r: r["block"])), like)

@@ -39,6 +39,7 @@ from millrace.session import shared_dir
 
 from . import blobs, graph
 from . import textgrid as tg
+from .memory import tidy
 
 U = np.uint64
 BROADCAST_NODES = 4_000_000
@@ -81,7 +82,7 @@ def _sketches(n: int, size: int):
 def nodes(docs: DataFrame, doc_id: str, text: str, n: int, sketch_size: int) -> DataFrame:
     """One row for each distinct word sequence: node, ids, grams, sketch."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null")
-    found = rows.mapInArrow(_sketches(n, sketch_size), "doc_id long, s1 long, s2 long, grams int, sketch array<long>")
+    found = rows.mapInArrow(tidy(_sketches(n, sketch_size)), "doc_id long, s1 long, s2 long, grams int, sketch array<long>")
     return found.groupBy("s1", "s2").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"), F.first("grams").alias("grams"), F.first("sketch").alias("sketch")).withColumnRenamed("s1", "node").drop("s2")
 
 
@@ -129,7 +130,7 @@ def links(reps: DataFrame, threshold: float, parts: int, sketch_size: int, slack
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(root[at]), pa.array(size[at].astype(np.int32))], names=["node", "root", "size"])
 
     ranked = blobs.send(blobs.send(reps.select("node", "sketch"), postings, POSTING, parts), frequencies, RANKED, parts)
-    met = blobs.send(ranked, prefixes, POSTING, parts).mapInArrow(meet, "node long, root long, size int")
+    met = blobs.send(ranked, prefixes, POSTING, parts).mapInArrow(tidy(meet), "node long, root long, size int")
     enough = f"n >= greatest(1, ceil({least_share} * size))"
     return met.groupBy("node", "root").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(enough).select("node", "root")
 
@@ -355,14 +356,14 @@ def join(
         found = placed.select("node").distinct().toArrow().column("node").to_numpy()
         wanted = spark.sparkContext.broadcast(np.sort(found))
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null")
-    sets = source.mapInArrow(segments(n, wanted), "node long, doc_id long, set binary")
+    sets = source.mapInArrow(tidy(segments(n, wanted)), "node long, doc_id long, set binary")
     held = placed.withColumn("doc_id", F.col("ids")[0])
     held = sets.join(F.broadcast(held) if rows <= BROADCAST_ROWS else held, ["node", "doc_id"])
     held = held.select("root", "low", "high", "side", "node", "ids", "set").repartition(parts, "root", "low", "high")
     several = reps.where("size(ids) > 1").select("ids", "grams")
     if forest:
-        return held.mapInArrow(_verify(threshold, fragments, True), "node long, root long").union(several.mapInArrow(_copies(True), "node long, root long"))
-    return held.mapInArrow(_verify(threshold, fragments, False), PAIRS).union(several.mapInArrow(_copies(False), PAIRS))
+        return held.mapInArrow(tidy(_verify(threshold, fragments, True)), "node long, root long").union(several.mapInArrow(_copies(True), "node long, root long"))
+    return held.mapInArrow(tidy(_verify(threshold, fragments, False)), PAIRS).union(several.mapInArrow(_copies(False), PAIRS))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import frames
 from . import textgrid as tg
+from .memory import tidy
 
 ALPHABET = 91
 _LETTER = np.full(256, 0, np.int32)
@@ -126,7 +127,7 @@ def profile(docs: DataFrame, text: str = "text", label: str = "lang", dims: int
     rows = (
         docs.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("lang"))
         .where("lang is not null")
-        .mapInArrow(count, "lang string, vector array<double>")
+        .mapInArrow(tidy(count), "lang string, vector array<double>")
         .select("lang", F.posexplode("vector").alias("d", "v"))
         .groupBy("lang", "d")
         .agg(F.sum("v").alias("v"))

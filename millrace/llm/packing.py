@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textgrid as tg
+from .memory import tidy
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -159,4 +160,4 @@ def pack(
         F.unhex(F.md5(F.col(f"`{text}`").cast("string"))).alias("tie"),
         F.col(f"`{text}`").cast("string").alias("text"),
     )
-    return rows.mapInArrow(measure, UNITS).groupBy("shard").applyInArrow(fill, WINDOWS)
+    return rows.mapInArrow(tidy(measure), UNITS).groupBy("shard").applyInArrow(fill, WINDOWS)

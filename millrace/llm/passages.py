@@ -40,6 +40,7 @@ from millrace.session import shared_dir
 
 from . import blobs, graph, jaccard
 from . import textgrid as tg
+from .memory import tidy
 
 U = np.uint64
 BROADCAST_KEYS = 8_000_000
@@ -178,7 +179,7 @@ def collisions(docs: DataFrame, parts: int, radius: int, bands: int, rows: int,
             some = at[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[some].view(np.int64)), pa.array(c["content"][some].view(np.int64))], names=["bucket", "content"])
 
-    found = blobs.send(docs, send, BAND, parts).mapInArrow(meet, "bucket long, content long")
+    found = blobs.send(docs, send, BAND, parts).mapInArrow(tidy(meet), "bucket long, content long")
     # Keys are sent without their high bits, which the partition stands for.
     return found.withColumn("bucket", F.xxhash64("bucket", F.spark_partition_id()))
 
@@ -243,8 +244,8 @@ def verified(docs: DataFrame, met: DataFrame, parts: int, radius: int, threshold
         x, y = graph.stars(content[np.concatenate(x)], content[np.concatenate(y)])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["node", "root"])
 
-    found = docs.mapInArrow(sets, "content long, items binary").groupBy("content").agg(F.first("items").alias("items"))
-    return met.join(found, "content").repartition(parts, "bucket").mapInArrow(lead, "node long, root long")
+    found = docs.mapInArrow(tidy(sets), "content long, items binary").groupBy("content").agg(F.first("items").alias("items"))
+    return met.join(found, "content").repartition(parts, "bucket").mapInArrow(tidy(lead), "node long, root long")
 
 
 def removable(docs: DataFrame, clusters: DataFrame, parts: int, radius: int, min_run: int) -> DataFrame:
@@ -313,7 +314,7 @@ def removable(docs: DataFrame, clusters: DataFrame, parts: int, radius: int, min
                 cols = [c["key"].view(np.int64), c["doc"], c["sign"].astype(np.int64), c["at"].astype(np.int32), c["words"].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=list(PLACE))
 
-        rows = docs.mapInArrow(plain, "key long, doc long, sign long, at int, words int")
+        rows = docs.mapInArrow(tidy(plain), "key long, doc long, sign long, at int, words int")
         rows = rows.join(clusters.withColumnRenamed("node", "key"), "key", "left").withColumn("key", F.coalesce("root", "key")).drop("root")
 
         def again(batches: Iterator[pa.RecordBatch]) -> Iterator[blobs.Columns]:
@@ -323,7 +324,7 @@ def removable(docs: DataFrame, clusters: DataFrame, parts: int, radius: int, min
         first = blobs.send(rows, again, PLACE, parts)
     else:
         first = blobs.send(docs, send, PLACE, parts)
-    return blobs.send(first, later, PLACE, parts).mapInArrow(gather, "doc_id long, sign long, gone array<int>")
+    return blobs.send(first, later, PLACE, parts).mapInArrow(tidy(gather), "doc_id long, sign long, gone array<int>")
 
 
 def dedup(
@@ -382,7 +383,7 @@ def dedup(
                 yield pa.RecordBatch.from_arrays([*out, pa.array(counts, pa.int32()), pa.array(removed), pa.array(spans, kinds)], names=[*inner, "a0", "a1", "a2"])
 
     added = "a0 int, a1 int, a2 array<struct<start: int, end: int>>"
-    return joined.mapInArrow(rewrite, f"{ddl}, {added}").toDF(*names, *ADDED)
+    return joined.mapInArrow(tidy(rewrite), f"{ddl}, {added}").toDF(*names, *ADDED)
 
 
 ADDED = ["passages_words", "passages_removed_words", "passages_spans"]
