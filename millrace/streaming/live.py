@@ -33,7 +33,9 @@ def windowed_counts(stream: DataFrame, time: str, key: str, value: str, window:
 def speech_intervals(stream: DataFrame, key: str, order: str, value: str, threshold: float, least: int = 1, pause: str = "10 minutes") -> DataFrame:
     """(key, start, end, n) of runs of rows at the threshold, across batches. A
     run ends with the first row under the threshold, or if nothing comes for the
-    pause. Rows of a key come in the order of order."""
+    pause. Rows of a key come in the order of order. As a pause needs the clock,
+    the query never runs out of batches: start it with a processing-time trigger,
+    not with availableNow."""
     kind = stream.schema[order].dataType.simpleString()
     wait = int(pd.Timedelta(pause).total_seconds() * 1000)
 
