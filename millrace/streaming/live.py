@@ -30,41 +30,38 @@ def windowed_counts(stream: DataFrame, time: str, key: str, value: str, window:
     return found.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "mean")
 
 
-def speech_intervals(stream: DataFrame, key: str, order: str, value: str, threshold: float, least: int = 1, pause: str = "10 minutes") -> DataFrame:
+def speech_intervals(stream: DataFrame, key: str, time: str, value: str, threshold: float, least: int = 1, pause: str = "10 minutes", lateness: str = "1 hour") -> DataFrame:
     """(key, start, end, n) of runs of rows at the threshold, across batches. A
-    run ends with the first row under the threshold, or if nothing comes for the
-    pause. Rows of a key come in the order of order. As a pause needs the clock,
-    the query never runs out of batches: start it with a processing-time trigger,
-    not with availableNow."""
-    kind = stream.schema[order].dataType.simpleString()
+    run ends with the first row under the threshold, or when the watermark is the
+    pause beyond its last row. Rows of a key come in the order of time."""
     wait = int(pd.Timedelta(pause).total_seconds() * 1000)
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end, n = state.get if state.exists else (None, None, 0)
+        start, end, n = state.get if state.exists else (0, 0, 0)
         out = []
         if state.hasTimedOut:
-            if n >= least:
-                out.append((k[0], start, end, n))
+            out.append((k[0], start, end, n))
             state.remove()
         else:
             rows = pd.concat(list(batches)).sort_values("at")
-            for at, v in zip(rows["at"], rows["v"]):
+            for at, v in zip(rows["at"].tolist(), rows["v"].tolist()):
                 if v is not None and v >= threshold:
                     start, end, n = (at if n == 0 else start), at, n + 1
-                else:
-                    if n >= least:
-                        out.append((k[0], start, end, n))
-                    start, end, n = None, None, 0
+                elif n:
+                    out.append((k[0], start, end, n))
+                    n = 0
             if n:
                 state.update((start, end, n))
-                state.setTimeoutDuration(wait)
+                state.setTimeoutTimestamp(max(end // 1000 + wait, state.getCurrentWatermarkMs() + 1))
             elif state.exists:
                 state.remove()
-        yield pd.DataFrame(out, columns=[key, "start", "end", "n"])
+        yield pd.DataFrame([r for r in out if r[3] >= least], columns=[key, "start", "end", "n"])
 
-    rows = stream.select(c.col(key).alias("k"), c.col(order).alias("at"), c.col(value).cast("double").alias("v"))
-    key_kind = stream.schema[key].dataType.simpleString()
-    return rows.groupBy("k").applyInPandasWithState(run, f"{key} {key_kind}, start {kind}, end {kind}, n long", f"start {kind}, end {kind}, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    marked = stream.withColumn("_time", c.col(time).cast("timestamp")).withWatermark("_time", lateness)
+    rows = marked.select(c.col(key).alias("k"), "_time", F.unix_micros("_time").alias("at"), c.col(value).cast("double").alias("v"))
+    kind = stream.schema[key].dataType.simpleString()
+    found = rows.groupBy("k").applyInPandasWithState(run, f"`{key}` {kind}, start long, end long, n long", "start long, end long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(c.col(key), F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("end"), "n")
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, stage: Callable[[DataFrame], DataFrame] | None = None):
