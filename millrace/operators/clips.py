@@ -137,16 +137,15 @@ def scene_filter(
             F.round(p["e"] - p["s"], 6).alias("duration_sec"),
         ),
     )
-    failed = scenes.isNull()
-    return df.withColumn(
-        output,
-        F.struct(
-            (~failed).alias("success"),
-            F.when(failed, "no scenes could be found").alias("error"),
-            fps.alias("fps"),
-            F.coalesce(scenes, F.array().cast(f"array<{SCENE}>")).alias("scenes"),
-        ),
+    failed = F.col("_scenes").isNull()
+    made = F.struct(
+        (~failed).alias("success"),
+        F.when(failed, "no scenes could be found").alias("error"),
+        fps.alias("fps"),
+        F.coalesce("_scenes", F.array().cast(f"array<{SCENE}>")).alias("scenes"),
     )
+    # What is used more than once is a column of its own, and so computed once.
+    return df.withColumn("_scenes", scenes).withColumn(output, made).drop("_scenes")
 
 
 @operator("VideoClipFilter", "generate")
@@ -205,9 +204,9 @@ def clip_filter(
     def inside(x: Column) -> Column:
         return bounded(x["num_frames"], frames_min, frames_max) & bounded(x["fps"], fps_min, fps_max) & bounded(x["height"] * x["width"], None, resolution_max)
 
-    made = F.filter(F.transform(c.col(scene)["scenes"], make), inside)
+    made = F.col("_made")
     missing = F.coalesce(path == "", F.lit(True))
-    rows = df.withColumn(
+    rows = df.withColumn("_made", F.filter(F.transform(c.col(scene)["scenes"], make), inside)).withColumn(
         output,
         F.struct(
             (~missing & made.isNotNull()).alias("success"),
@@ -215,6 +214,7 @@ def clip_filter(
             F.when(missing | made.isNull(), F.slice(made, 1, 0)).otherwise(made).alias("clips"),
         ),
     )
+    rows = rows.drop("_made")
     return rows.where(F.size(F.col(f"`{output}`.clips")) > 0) if drop_invalid_timestamps else rows
 
 
@@ -241,15 +241,13 @@ def frame_filter(df: DataFrame, clips: str = "video_clip", output: str = "video_
         local = frame_plan(x["num_frames"], x["fps"], interval_sec)
         return F.struct(x["id"].alias("id"), F.transform(local, lambda k: k + x["frame_start"]).alias("frames"))
 
-    made = F.transform(c.col(clips)["clips"], plan)
+    made = F.col("_made")
     total = F.aggregate(made, F.lit(0), lambda s, x: s + F.size(x["frames"]))
     some = F.coalesce(F.size(made) > 0, F.lit(False))
-    return df.withColumn(
-        output,
-        F.struct(
-            some.alias("success"), F.when(~some, "no_jobs").alias("error"), made.alias("clips"), F.coalesce(total, F.lit(0)).alias("total_saved"), F.greatest(F.size(made), F.lit(0)).alias("total_clips")
-        ),
+    summary = F.struct(
+        some.alias("success"), F.when(~some, "no_jobs").alias("error"), made.alias("clips"), F.coalesce(total, F.lit(0)).alias("total_saved"), F.greatest(F.size(made), F.lit(0)).alias("total_clips")
     )
+    return df.withColumn("_made", F.transform(c.col(clips)["clips"], plan)).withColumn(output, summary).drop("_made")
 
 
 def _fields(df: DataFrame, clips: str) -> list[str]:
