@@ -264,7 +264,7 @@ def tag_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select p_partkey, least(a, b) as x1, c as y1, greatest(a, b) as x2, 0.9 as y2
+    """select p_partkey, least(a, b) as x1, c as y1, greatest(a, b) as x2, 0.9::double as y2
 from (select p_partkey, round((p_partkey % 10) / 10.0::double, 6) as a, 0.5::double as b, 0.25::double as c from part)"""
 )
 def parse_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
