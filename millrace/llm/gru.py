@@ -2,8 +2,12 @@
 
 Words are lower-cased runs of bytes other than ASCII white space. Their counts
 over all documents give the vocabulary: the most frequent words, in frequency
-order, cut into classes of equal size; every other word is the unknown word. The
-output softmax is factored: P(word) = P(class | state) * P(word | class, state).
+order, cut into classes of equal size. Its size grows with the square root of
+the number of distinct words. The output softmax is factored: P(word) =
+P(class | state) * P(word | class, state). Every other word is the unknown word
+for the network, and is spelled: its probability is that of the unknown word
+times that of its bytes and its end, each given the two bytes before. The
+spelling's counts are of all unknown words of the corpus.
 
 Training reads every document once. Documents are laid end to end in lanes that
 advance together; the gradient is cut off after window steps, the state is
@@ -24,7 +28,8 @@ whatever their names. Texts of any length are scored whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -41,6 +46,13 @@ END, UNKNOWN, SPECIAL = 0, 1, 2
 GROUP = 48 << 20
 LIMIT = 4.0
 COUNT = {"key": "<u8", "n": "<i8"}
+#: Words of the vocabulary for each square root of a distinct word.
+GROWTH = 4
+#: A spelling's context: the low five bits of the byte before last, and the last
+#: byte. Space stands for what is before a word, and for its end.
+CELLS, SPACE = 32 * 256 * 256, 32
+#: Weight of the shorter context's probability, in counts.
+BACK = 4.0
 Net = dict[str, np.ndarray]
 
 
@@ -55,12 +67,23 @@ class Shape(NamedTuple):
     def words(self) -> int:
         return self.classes * self.slots
 
+    def holding(self, words: int) -> Shape:
+        """This shape, or if it has too few words, one of about as many classes as slots."""
+        if words <= self.words:
+            return self
+        classes = math.isqrt(words - 1) + 1
+        return self._replace(classes=classes, slots=-(-words // classes))
 
-def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
-    """Hashes of the most frequent words over all documents, by frequency.
+
+def vocabulary(docs: DataFrame, least: int, growth: float = 0) -> np.ndarray:
+    """Hashes of the most frequent words over all documents, by frequency: least
+    of them, or growth for each square root of a distinct word, if that is more.
     docs has the column text."""
     parts = blobs.width(docs.sparkSession)
 
+    def wanted(distinct: int) -> int:
+        return max(least, int(growth * math.sqrt(distinct)))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[blobs.Columns]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -83,13 +106,18 @@ def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
         c = blobs.receive(batches, COUNT)
         key, at = np.unique(c["key"], return_inverse=True)
         n = np.bincount(at, c["n"]).astype(np.int64) if len(key) else np.zeros(0, np.int64)
-        # Words that can't be among the most frequent of all stay here.
-        best = np.lexsort((key, -n))[:size]
-        yield pa.RecordBatch.from_arrays([pa.array(key[best].view(np.int64)), pa.array(n[best])], names=["word", "n"])
+        # Hashes spread words evenly over partitions: words that can't be among
+        # the most frequent of all, by a wide margin, stay here.
+        best = np.lexsort((key, -n))[: 2 * wanted(2 * len(key) * parts) // parts + 200]
+        # The number of words comes first, with a count of -1.
+        word, n = np.append(len(key), key[best].view(np.int64)), np.append(-1, n[best])
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
 
-    found = blobs.send(docs, count, COUNT, parts).mapInArrow(tidy(add), "word long, n long")
-    rows = found.orderBy(F.desc("n"), "word").limit(size).collect()
-    return np.array([r["word"] for r in rows], np.int64).view(np.uint64)
+    found = blobs.send(docs, count, COUNT, parts).mapInArrow(tidy(add), "word long, n long").toArrow()
+    word, n = found.column("word").to_numpy(), found.column("n").to_numpy()
+    size = wanted(int(word[n < 0].sum()))
+    word, n = word[n > 0], n[n > 0]
+    return word[np.lexsort((word, -n))[:size]].view(np.uint64)
 
 
 def fresh(shape: Shape, seed: int) -> Net:
@@ -113,29 +141,65 @@ def number(w: tg.Words, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of all documents, each followed by the end mark, and where
     each document begins (one more than there are). vocab: hashes by rank."""
     docs = len(w.first) - 1
-    ids = np.full(len(w.hash), UNKNOWN, np.int16)
+    kind = np.uint16 if len(vocab) + SPECIAL <= 1 << 16 else np.int32
+    ids = np.full(len(w.hash), UNKNOWN, kind)
     if len(vocab):
         order = np.argsort(vocab)
         known = vocab[order]
         at = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
         hit = known[at] == w.hash
-        ids[hit] = (order[at[hit]] + SPECIAL).astype(np.int16)
+        ids[hit] = (order[at[hit]] + SPECIAL).astype(kind)
     bounds = w.first + np.arange(docs + 1)
-    out = np.full(len(ids) + docs, END, np.int16)
+    out = np.full(len(ids) + docs, END, kind)
     out[np.arange(len(ids)) + np.repeat(np.arange(docs), w.counts)] = ids
     return out, bounds
 
 
-def numbers(texts: pa.Array, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """number() for many texts, whose words are taken in smaller slices."""
+def spelled(w: tg.Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (a context and the byte that follows) of the spellings of chosen
+    words, and where each word's begin."""
+    size = (w.end - w.start)[chosen] + 1
+    begin = np.cumsum(size) - size
+    at = np.repeat(w.start[chosen] - begin, size) + np.arange(int(size.sum()))
+    here = w.buf[np.minimum(at, len(w.buf) - 1)].astype(np.int32)
+    here[begin + size - 1] = SPACE
+    # A word's end stands before the next one as the space that it is.
+    before = np.concatenate([np.array([SPACE], np.int32), here[:-1]])
+    last = np.concatenate([before[:1], before[:-1]])
+    last[begin] = SPACE
+    return (last & 31) << 16 | before << 8 | here, begin
+
+
+def spelling(counts: np.ndarray) -> np.ndarray:
+    """Log-probabilities of all cells by their counts. Each context leans on the
+    shorter one, down to equal shares of all bytes."""
+    long = counts.reshape(32, 256, 256).astype(np.float64)
+    short = long.sum(axis=0)
+    none = short.sum(axis=0)
+    p = (none + 1) / (none.sum() + 256)
+    p = (short + BACK * p) / (short.sum(axis=1, keepdims=True) + BACK)
+    p = (long + BACK * p) / (long.sum(axis=2, keepdims=True) + BACK)
+    return np.log(p).astype(np.float32).ravel()
+
+
+def numbers(texts: pa.Array, vocab: np.ndarray, unknown: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """number() for many texts, whose words are taken in smaller slices, and what
+    unknown gives for the spellings of the unknown words, in order."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-    found = [number(tg.words(part.column(0)), vocab) for part in tg.slices(batch, "text")]
+    found, more = [], [np.zeros(0, np.float32)]
+    for part in tg.slices(batch, "text"):
+        w = tg.words(part.column(0))
+        ids, bounds = number(w, vocab)
+        found.append((ids, np.diff(bounds)))
+        chosen = np.flatnonzero(np.delete(ids, bounds[1:] - 1) == UNKNOWN)
+        if len(chosen):
+            more.append(unknown(*spelled(w, chosen)))
     if not found:
-        return np.zeros(0, np.int16), np.zeros(1, np.int64)
-    sizes = np.concatenate([np.diff(b) for _, b in found])
-    return np.concatenate([i for i, _ in found]), np.concatenate([[0], np.cumsum(sizes)])
+        return np.zeros(0, np.uint16), np.zeros(1, np.int64), more[0]
+    sizes = np.concatenate([b for _, b in found])
+    return np.concatenate([i for i, _ in found]), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(more)
 
 
 def lay(ids: np.ndarray, bounds: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +323,7 @@ class Network:
 
     def _softmax(self, h, y, learn):
         net, slots = self.net, self.shape.slots
-        kind, slot = y // slots, y % slots
+        kind, slot = (y // slots).astype(np.int16), y % slots
         # Weights are kept within LIMIT, so that no exponential overflows.
         score = h @ net["c"]
         score += net["cb"]
@@ -320,22 +384,40 @@ def _unpacked(data: bytes, like: Net) -> Net:
     return out
 
 
+def _sparse(counts: np.ndarray) -> bytes:
+    some = np.flatnonzero(counts)
+    return np.stack([some, counts[some]]).astype("<i8").tobytes()
+
+
+def _add_sparse(counts: np.ndarray, data) -> None:
+    some, n = np.frombuffer(data, "<i8").reshape(2, -1)
+    counts[some] += n
+
+
 def train(docs: DataFrame, vocab: np.ndarray, shape: Shape, rounds: int = 2, rate: float = 0.01, seed: int = 5) -> Net:
-    """The network after one pass over all documents, in rounds. docs has the
-    column text. Averages are summed on the cluster, block by block."""
+    """The network after one pass over all documents, in rounds, and with it, as
+    spell, the spelling of unknown words. docs has the column text. Averages and
+    counts are summed on the cluster, block by block."""
     net = fresh(shape, seed)
     sc = docs.sparkSession.sparkContext
     like = {k: np.empty_like(v) for k, v in net.items()}
+    letters = np.zeros(CELLS, np.int64)
     for turn in range(rounds):
         held = sc.broadcast((_packed(net), vocab))
 
         def learn(batches: Iterator[pa.RecordBatch], turn=turn, held=held) -> Iterator[pa.RecordBatch]:
             own = Network(_unpacked(held.value[0], like), shape, rate)
             seen, k = 0, 0
+            cells = np.zeros(CELLS, np.int64)
+
+            def count(cell: np.ndarray, _: np.ndarray) -> np.ndarray:
+                np.add(cells, np.bincount(cell, minlength=CELLS), out=cells)
+                return np.zeros(0, np.float32)
+
             for batch in batches:
                 for part in tg.slices(batch, "text", GROUP // rounds):
                     if k % rounds == turn:
-                        ids, bounds = numbers(part.column("text"), held.value[1])
+                        ids, bounds, _ = numbers(part.column("text"), held.value[1], count)
                         own.read(ids, bounds, learn=True)
                         seen += len(ids)
                     k += 1
@@ -346,8 +428,14 @@ def train(docs: DataFrame, vocab: np.ndarray, shape: Shape, rounds: int = 2, rat
                     [pa.array(range(16), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary()), pa.array([seen] * 16, pa.int64())],
                     names=["block", "sums", "tokens"],
                 )
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([_sparse(cells)], pa.binary()), pa.array([seen], pa.int64())], names=["block", "sums", "tokens"])
 
         def add(key: tuple, rows: pa.Table) -> pa.Table:
+            if key[0].as_py() < 0:
+                cells = np.zeros(CELLS, np.int64)
+                for x in rows.column("sums").combine_chunks():
+                    _add_sparse(cells, x.as_buffer())
+                return pa.table({"block": pa.array([-1], pa.int32()), "mean": pa.array([_sparse(cells)], pa.binary())})
             total = np.sum([np.frombuffer(x.as_buffer(), "<f8") for x in rows.column("sums").combine_chunks()], axis=0)
             seen = sum(rows.column("tokens").to_pylist())
             mean = (total / seen).astype("<f4").tobytes()
@@ -356,22 +444,31 @@ def train(docs: DataFrame, vocab: np.ndarray, shape: Shape, rounds: int = 2, rat
         rows = docs.mapInArrow(tidy(learn), "block int, sums binary, tokens long").groupBy("block").applyInArrow(add, "block int, mean binary").collect()
         held.unpersist()
         if rows:
-            net = _unpacked(b"".join(bytes(r["mean"]) for r in sorted(rows, key=lambda r: r["block"])), like)
-    return net
+            first, *rows = sorted(rows, key=lambda r: r["block"])
+            _add_sparse(letters, first["mean"])
+            net = _unpacked(b"".join(bytes(r["mean"]) for r in rows), like)
+    return net | {"spell": spelling(letters)}
 
 
 def score(docs: DataFrame, net: Net, vocab: np.ndarray, shape: Shape, text: str = "text") -> DataFrame:
     """docs with lm_tokens (words and the end mark), lm_log_likelihood (natural
-    logarithm, of the complete document) and lm_perplexity."""
+    logarithm, of the complete document, unknown words with their spelling) and
+    lm_perplexity."""
     held = docs.sparkSession.sparkContext.broadcast((_packed(net), vocab))
     like = {k: np.empty_like(v) for k, v in net.items()}
 
     def make():
-        own = Network(_unpacked(held.value[0], like), shape)
+        net = _unpacked(held.value[0], like)
+        spell = net.pop("spell")
+        own = Network(net, shape)
+
+        def cost(cell: np.ndarray, begin: np.ndarray) -> np.ndarray:
+            return np.add.reduceat(spell[cell], begin)
 
         def run(texts: pa.Array, _: list[pa.Array]) -> list[pa.Array]:
-            ids, bounds = numbers(texts, held.value[1])
+            ids, bounds, letters = numbers(texts, held.value[1], cost)
             logp = own.read(ids, bounds, learn=False).astype(np.float64)
+            logp[ids == UNKNOWN] += letters
             sums = np.add.reduceat(logp, bounds[:-1]) if len(logp) else np.zeros(0)
             size = np.diff(bounds)
             null = texts.is_null().to_numpy(zero_copy_only=False)
@@ -384,7 +481,9 @@ def score(docs: DataFrame, net: Net, vocab: np.ndarray, shape: Shape, text: str
 
 
 def fit_and_score(docs: DataFrame, text: str = "text", shape: Shape = Shape(), **options) -> DataFrame:
-    """docs with the scores of a network trained on all of them."""
+    """docs with the scores of a network trained on all of them. shape has the
+    least number of words; it grows with the vocabulary."""
     plain = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    vocab = vocabulary(plain, shape.words - SPECIAL)
+    vocab = vocabulary(plain, shape.words - SPECIAL, GROWTH)
+    shape = shape.holding(len(vocab) + SPECIAL)
     return score(docs, train(plain, vocab, shape, **options), vocab, shape, text)

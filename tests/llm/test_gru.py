@@ -116,3 +116,45 @@ def test_lanes_hold_every_token_once():
     assert (np.diff(lens) <= 0).all()
     numbers, starts = gru.number(tg.words(pa.array(["a b", "", None, prose(np.random.default_rng(1), "en", 9)])), np.zeros(0, np.uint64))
     assert np.diff(starts).tolist() == [3, 1, 1, 10] and (numbers[starts[1:] - 1] == gru.END).all()
+
+
+def test_vocabulary_grows_with_the_corpus(spark):
+    rng = np.random.default_rng(12)
+
+    def words(most):
+        text = spark.createDataFrame([(" ".join(f"w{i}" for i in part),) for part in np.array_split(rng.permutation(most), 50)], "text string")
+        return len(gru.vocabulary(text, 100, gru.GROWTH))
+
+    assert words(400) == 100 and words(10_000) == 400 and words(40_000) == 800
+    assert gru.Shape().holding(510) == gru.Shape()
+    assert all(n <= gru.Shape().holding(n).words < n + 200 for n in (513, 1000, 9001))
+
+
+def test_spellings_are_a_distribution_and_equal_plain_loops():
+    counts = np.random.default_rng(2).integers(0, 3, gru.CELLS) * (np.random.default_rng(3).random(gru.CELLS) < 0.1)
+    table = gru.spelling(counts)
+    np.testing.assert_allclose(np.exp(table.astype(float)).reshape(-1, 256).sum(axis=1), 1, rtol=1e-5)
+    w = tg.words(pa.array(["ab über", "", None, "x"]))
+    cells, begin = gru.spelled(w, np.array([0, 1, 2]))
+    want = []
+    for word in ("ab", "über", "x"):
+        data = b"  " + word.encode() + b" "
+        want += [((data[i - 2] & 31) << 16) + (data[i - 1] << 8) + data[i] for i in range(2, len(data))]
+    assert cells.tolist() == want and begin.tolist() == [0, 3, 9]
+
+
+def test_nonsense_costs_more_than_rare_words_like_the_corpus(spark):
+    rng = np.random.default_rng(8)
+    parts = "ba de lo mi nu ra se ti vo ka".split()
+
+    def word():
+        return "".join(rng.choice(parts, 3))
+
+    rows = [(i, " ".join(word() for _ in range(100))) for i in range(60)]
+    tests = [(0, " ".join(word() for _ in range(20))), (1, " ".join("xqzjwk" for _ in range(20)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shape = gru.Shape(classes=4, slots=4, lanes=8)
+    vocab = gru.vocabulary(docs.select("text"), shape.words - gru.SPECIAL)
+    got = gru.score(spark.createDataFrame(tests, "doc_id long, text string"), gru.train(docs.select("text"), vocab, shape), vocab, shape)
+    cost = {r["doc_id"]: r["lm_log_likelihood"] for r in got.collect()}
+    assert cost[0] - cost[1] > 20 * 5
