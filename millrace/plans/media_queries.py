@@ -306,14 +306,14 @@ def cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return similar.text_diversity(docs, "text", "doc_id", group="source").select("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return similar.text_diversity(docs, "text", "doc_id").select("doc_id")
 
 
 @query()
 def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.xxhash64("text").alias("phash"))
-    return similar.diversity(docs, "text", "phash", "doc_id", distance=20, group="source").select("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("phash"))
+    return similar.diversity(docs, "text", "phash", "doc_id", distance=20).select("doc_id")
 
 
 @query(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import audio, clips, images, marks, similar
+from millrace.plans import catalog
 from millrace.sources import media
 
 
@@ -222,3 +223,36 @@ def test_boxes(spark):
     assert rows[0]["normalized_bbox"] == [[0, 0, 0.5, 0.5], [0.01, 0.005, 0.11, 0.055], [0, 0, 0, 0]] and rows[0]["num_boxes"] == 2
     assert rows[1]["num_boxes"] == 0 and len(rows[1]["normalized_bbox"]) == 3
     assert spark.range(1).select(images.suppressed(F.expr("array(array(0,0,10,10), array(0,0,20,20), array(30,30,5,5))")).alias("x")).collect()[0]["x"] == [[0, 0, 20, 20], [30, 30, 5, 5]]
+
+
+def test_diversity_queries_compare_all_sources(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words, 12)), f"s{i % 3}") for i in range(30)]
+    # Copies of earlier texts in another source and in the same one, and odd texts.
+    rows += [(30, rows[4][1], "s2"), (31, rows[5][1], "s0"), (32, rows[6][1], "s0"), (33, rows[7][1] + " " + rows[7][1], "s0"), (34, None, "s1"), (35, "a", "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    hashes = {r["doc_id"]: r["h"] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", F.xxhash64("text").alias("h")).collect()}
+
+    def novel(text, kept):
+        texts = [t.split() for t in [*kept, text]]
+        names = sorted({w for t in texts for w in t})
+        x = np.array([[t.count(w) for w in names] for t in texts], float)
+        x *= np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return not kept or (x[:-1] @ x[-1]).max() < 0.8
+
+    kept, seen, by_text, by_both = [], [], [], []
+    for i, text, _ in rows:
+        new = text is not None and len(text) >= 3 and novel(text, kept)
+        other = all(((h ^ hashes[i]) & (1 << 64) - 1).bit_count() > 20 for h in seen)
+        if new:
+            kept.append(text)
+            by_text.append(i)
+        if other:
+            seen.append(hashes[i])
+        if new and other:
+            by_both.append(i)
+    assert not {30, 31, 32, 33} & set(by_text) and len(by_text) > 20
+    for name, want in (("text_diversity", by_text), ("diversity", by_both)):
+        assert sorted(r["doc_id"] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == want
