@@ -7,15 +7,18 @@ they lie on the longest increasing subsequence; the gaps between anchors are
 aligned in the same way. Coverage is the matched share of the template's words.
 
 Only regions that can reach the least coverage are aligned: the template's rare
-words (all but common ones like "the") must be there often enough, which is
-exact, since common words alone can't reach it. Regions are runs of rare words
-that are no further apart than the template is long; a region that is longer
-than the template can explain is tried at every occurrence of each rare word, so
-that repeated notices are all found.
+words (all but common ones like "the") must be there often enough, which loses
+nothing, since common words alone can't reach it. Regions are runs of rare words
+that are no further apart than the template is long; words further apart aren't
+taken for one notice. A region is aligned as a whole. If it is longer than the
+template, it is also tried at every occurrence of each rare word, so that
+repeated notices are all found, and in overlapping windows of doubling length, so
+that notices with insertions are found beside others. What is left of a region
+beside its findings is a region again.
 
 Defined cases: a null or empty text has no licenses. Of overlapping findings of
-one template the one with more coverage stays, of equal ones the first; different
-templates are reported side by side. Repeated rows are scanned one by one. An
+one template the one with more coverage stays, of equal ones the shortest, then
+the first; different templates are reported side by side. Repeated rows are scanned one by one. An
 empty table gives an empty result. Other columns are carried, whatever their
 names. Texts are scanned whole.
 """
@@ -133,6 +136,26 @@ class Scanner:
             self.offsets.append({w: [p for p, x in enumerate(own.tolist()) if x == w] for w in self.rare[-1].tolist()})
         self.any = np.unique(np.concatenate(self.rare)) if self.rare else np.zeros(0, np.uint64)
 
+    def _tries(self, t: int, words: np.ndarray, place: np.ndarray, low: int, high: int) -> set[tuple[int, int]]:
+        """Where to align a region, whose rare words are at place, within low to high."""
+        size = len(self.words[t])
+        first, stop = max(low, int(place[0]) - size), min(high, int(place[-1]) + 1 + size)
+        tries = {(first, stop)}
+        if place[-1] - place[0] < size:
+            tries.add((max(low, int(place[-1]) - size + 1 - size // 4), min(high, int(place[0]) + size + size // 4)))
+            return tries
+        for p in place:
+            for q in self.offsets[t][int(words[p])]:
+                tries.add((max(low, int(p) - q - size // 4), min(high, int(p) - q + size + size // 4)))
+        # Any stretch of three quarters of a length is inside a window of it.
+        length = size
+        while length < stop - first:
+            begin = np.arange(first, stop, max(1, length // 4))
+            enough = np.searchsorted(place, begin + length) - np.searchsorted(place, begin) >= self.need[t]
+            tries.update((int(x), min(stop, int(x) + length)) for x in begin[enough])
+            length *= 2
+        return tries
+
     def scan(self, texts: pa.Array) -> list[list[dict]]:
         w = tg.words(texts, solid=_WORD)
         found: list[list[dict]] = [[] for _ in range(len(w.first) - 1)]
@@ -151,35 +174,35 @@ class Scanner:
             new = np.ones(len(place), bool)
             new[1:] = (owner[1:] != owner[:-1]) | (np.diff(place) > size)
             bounds = np.append(np.flatnonzero(new), len(place))
-            for a, b in zip(bounds[:-1], bounds[1:]):
+            stack = [(int(a), int(b), int(w.first[owner[a]]), int(w.first[owner[a] + 1])) for a, b in zip(bounds[:-1], bounds[1:])]
+            while stack:
+                a, b, low, high = stack.pop()
                 if b - a < self.need[t]:
                     continue
                 d = int(owner[a])
-                low, high = int(w.first[d]), int(w.first[d + 1])
-                if place[b - 1] - place[a] < size:
-                    tries = {max(low, int(place[b - 1]) - size + 1 - size // 4): min(high, int(place[a]) + size + size // 4)}
-                else:
-                    tries = {}
-                    for p in place[a:b]:
-                        for q in self.offsets[t][int(w.hash[p])]:
-                            begin = max(low, int(p) - q - size // 4)
-                            tries[begin] = min(high, int(p) - q + size + size // 4)
                 hits = []
-                for begin, end in tries.items():
+                for begin, end in sorted(self._tries(t, w.hash, place[a:b], low, high)):
                     pairs = align(w.hash[begin:end].tolist(), self.words[t])
                     coverage = len(pairs) / size
                     if coverage >= self.min - 1e-9:
-                        hits.append((-round(coverage, 6), begin + pairs[0][0], begin + pairs[-1][0]))
+                        hits.append((-round(coverage, 6), pairs[-1][0] - pairs[0][0], begin + pairs[0][0]))
                 if not hits:
                     continue
                 if chars is None:
                     chars = np.concatenate([[0], np.cumsum((w.buf & 0xC0) != 0x80)])
                 taken: list[tuple[int, int]] = []
-                for cover, first, last in sorted(set(hits)):
+                for cover, more, first in sorted(set(hits)):
+                    last = first + more
                     if all(last < x or first > y for x, y in taken):
                         taken.append((first, last))
                         base = chars[w.off[d]]
                         found[d].append({"license": name, "coverage": -cover, "start": int(chars[w.start[first]] - base), "end": int(chars[w.end[last]] - base)})
+                # What is left beside the findings is a region of its own.
+                for x, y in [*sorted(taken), (high, high)]:
+                    i, j = np.searchsorted(place[a:b], [low, x]) + a
+                    if i < j:
+                        stack.append((int(i), int(j), low, x))
+                    low = y + 1
         for rows in found:
             rows.sort(key=lambda r: (r["start"], r["end"], r["license"]))
         return found

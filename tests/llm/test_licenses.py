@@ -45,3 +45,25 @@ def test_scanner_agrees_with_alignment_of_the_whole_text(share):
         best = max((f["coverage"] for f in scanner.scan(pa.array([text]))[0]), default=0)
         whole = len(licenses.align(text.split(), "alpha beta gamma delta epsilon zeta".split())) / 6
         assert (best > 0) == (whole >= share - 1e-9)
+
+
+def test_long_insertions_are_aligned_as_in_the_full_text():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8, licenses.COMMON)
+    found = scanner.scan(pa.array(["Released under the terms of the MIT License"]))[0]
+    assert [(f["license"], f["coverage"]) for f in found] == [("mit-notice", 1.0)]
+    names = "alpha beta gamma delta epsilon zeta eta theta".split()
+    scanner = licenses.Scanner({"t": " ".join(names)}, 0.8, frozenset())
+    for more in (3, 5, 8):
+        for cuts in ((4,), (2, 6), (1, 2, 3, 4, 5, 6, 7)):
+            text = []
+            for k, word in enumerate(names):
+                text += [f"x{k}y{i}" for i in range(more - 1)] * (k in cuts) + [word]
+            assert len(licenses.align(text, names)) == 8
+            alone = scanner.scan(pa.array([" ".join(text)]))[0]
+            assert [f["coverage"] for f in alone] == [1.0] and alone[0]["end"] == len(" ".join(text))
+            # Beside whole notices, and three times.
+            plain = " ".join(names)
+            both = scanner.scan(pa.array([f"{plain} q {plain} q {plain}"]))[0]
+            assert [f["coverage"] for f in both] == [1.0] * 3
+            mixed = scanner.scan(pa.array([f"{plain} q {' '.join(text)}"]))[0]
+            assert len(mixed) == 2 and all(f["coverage"] >= 0.8 for f in mixed)
