@@ -68,6 +68,56 @@ def send(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[Colu
     return packed.repartitionById(parts, "part")
 
 
+def send_runs(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, Columns, Columns]]], heads: dict[str, str], items: dict[str, str], parts: int) -> DataFrame:
+    """Like send, for items that come in runs of one owner. rows gives each item's
+    partition and owner, the columns of all owners, and the columns of the items;
+    an owner's columns are sent once to every partition that gets items of it."""
+    names = [*heads, "size", *items]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, Columns, Columns]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            base = np.cumsum([0] + [len(next(iter(h[2].values()))) for h in held])
+            part = np.concatenate([h[0] for h in held]).astype(np.int32)
+            owner = np.concatenate([h[1].astype(np.int32) + np.int32(b) for h, b in zip(held, base)])
+            head = {c: np.concatenate([h[2][c] for h in held]).astype(k, copy=False) for c, k in heads.items()}
+            item = {c: np.concatenate([h[3][c] for h in held]).astype(k, copy=False) for c, k in items.items()}
+            held.clear()
+            # Items come in the order of their owners, which a stable sort keeps.
+            order = np.argsort(part, kind="stable")
+            part, owner = part[order], owner[order]
+            item = {c: v[order] for c, v in item.items()}
+            new = np.ones(len(part), bool)
+            new[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
+            run = np.flatnonzero(new)
+            lens = np.diff(np.append(run, len(part))).astype("<u4")
+            head = {c: v[owner[run]] for c, v in head.items()}
+            at_item = np.searchsorted(part, np.arange(parts + 1))
+            at_run = np.searchsorted(part[run], np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(at_item))
+            for group in np.array_split(some, max(1, len(some) // 256)):
+                if len(group):
+                    out = [pa.array(group, pa.int32())]
+                    out += [pa.array([v[at_run[p] : at_run[p + 1]].tobytes() for p in group], pa.binary()) for v in (*head.values(), lens)]
+                    out += [pa.array([v[at_item[p] : at_item[p + 1]].tobytes() for p in group], pa.binary()) for v in item.values()]
+                    yield pa.RecordBatch.from_arrays(out, names=["part", *names])
+
+        for found in rows(batches):
+            if len(found[0]):
+                held.append(found)
+                size += len(found[0]) * (8 + sum(v.itemsize for v in found[3].values()))
+                if size > FLUSH:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    packed = df.mapInArrow(tidy(pack), "part int, " + ", ".join(f"{c} binary" for c in names))
+    return packed.repartitionById(parts, "part")
+
+
 def receive(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> Columns:
     """All rows that a partition was sent."""
     held: dict[str, list[np.ndarray]] = {c: [] for c in kinds}

@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ByteType, IntegerType, LongType, NullType, ShortType, StructField, StructType
 
 from . import textgrid as tg
 from .memory import tidy
 
 
+def integers(df: DataFrame, name: str) -> Column:
+    """A column of ids as longs; ids of another kind are refused."""
+    column = df[f"`{name}`"]
+    kind = df.select(column).schema[0].dataType
+    if not isinstance(kind, (ByteType, ShortType, IntegerType, LongType, NullType)):
+        raise ValueError(f"{name} must be a column of integers, not {kind.simpleString()}")
+    return column.cast("long")
+
+
 def append(
     df: DataFrame,
     text: str,

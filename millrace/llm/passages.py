@@ -237,7 +237,7 @@ def verified(docs: DataFrame, met: DataFrame, parts: int, radius: int, threshold
         few = np.flatnonzero(~np.repeat(wide, np.diff(bounds)))
         if len(few):
             doc = np.repeat(few, size[few])
-            i, j, over = jaccard.sparse_overlap(np.repeat(bucket[few], size[few]), doc, np.concatenate([items[k] for k in few]), 1)
+            i, j, over = jaccard.sparse_overlap(np.repeat(bucket[few], size[few]), doc, np.concatenate([items[k] for k in few]))
             hit = over >= threshold * (size[i] + size[j] - over) - 1e-9
             x.append(i[hit])
             y.append(j[hit])

@@ -43,24 +43,55 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"tile": 7}, {"fragments": 1}])
+def named(corpus):
+    """Each text's least id."""
+    least = {}
+    for i, t in corpus:
+        least[t] = min(i, least.get(t, i))
+    return {i: least[t] for i, t in corpus}
+
+
+OPTIONS = [{}, {"tile": 7}, {"fragments": 1}, {"fragments": 8}, {"tile": 20, "fragments": 3}]
+
+
+@pytest.mark.parametrize("options", OPTIONS)
 def test_pairs_equal_brute_force(spark, corpus, options):
     docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(5)
+    name = named(corpus)
     got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.join(docs, **options).collect()}
+    assert got == {(a, b): j for (a, b), j in brute(corpus, 3, 0.6).items() if name[a] == a and name[b] == b and name[a] != name[b]}
+
+
+@pytest.mark.parametrize("options", OPTIONS)
+def test_classes_equal_brute_force(spark, corpus, options):
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(5)
     truth = brute(corpus, 3, 0.6)
-    assert set(got) <= set(truth)
-    assert len(got) >= 0.97 * len(truth)
-    assert all(abs(got[p] - truth[p]) < 1e-6 for p in got)
+    root = {i: i for i, _ in corpus}
+    for _ in corpus:
+        for a, b in truth:
+            root[a] = root[b] = min(root[a], root[b])
+    links = {i: sum(i in p for p in truth) for i in root}
+    rows = jaccard.classes(docs, **options).collect()
+    assert len(rows) == len(corpus)
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == {i: (root[i], links[i]) for i in root}
+
+
+def test_one_gram_in_all_documents(spark):
+    """A phrase that every document holds links nothing by itself."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "all rights are reserved here " + prose(rng, "en", 40)) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " more") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {(r["doc_a"], r["doc_b"]) for r in jaccard.join(docs).collect()} == set(brute(rows, 3, 0.6))
 
 
 def test_without_broadcasts(spark, corpus, monkeypatch):
-    monkeypatch.setattr(jaccard, "BROADCAST_NODES", 0)
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     docs = spark.createDataFrame(corpus, "doc_id long, text string")
-    assert jaccard.join(docs).count() >= 0.97 * len(brute(corpus, 3, 0.6))
+    wanted = sorted(jaccard.classes(docs).collect())
+    monkeypatch.setattr(jaccard, "BROADCAST_NODES", 0)
+    assert sorted(jaccard.classes(docs).collect()) == wanted
     kept = {r["doc_id"] for r in jaccard.keep_one(docs).collect()}
-    monkeypatch.undo()
-    assert kept == {r["doc_id"] for r in jaccard.keep_one(docs).collect()}
+    assert kept == {r["doc_id"] for r in wanted if r["doc_id"] == r["class_id"]}
 
 
 def test_keep_one_leaves_the_least_id_of_each_group(spark, corpus):
@@ -80,15 +111,25 @@ def test_keep_one_leaves_the_least_id_of_each_group(spark, corpus):
 
 def test_odd_rows(odd, empty, odd_rows):
     assert jaccard.join(odd).collect() == []
-    assert jaccard.join(empty).count() == 0
+    rows = jaccard.classes(odd).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(1, 9))
+    assert all(r["class_id"] == r["doc_id"] and r["n_links"] == 0 for r in rows)
+    assert jaccard.join(empty).count() == jaccard.classes(empty).count() == 0
     kept = jaccard.keep_one(odd)
-    assert kept.count() == len(odd_rows) and set(kept.columns) == set(odd.columns)
+    assert kept.count() == len(odd_rows) and kept.columns == odd.columns
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, "a b c d", 1, 1), (1, "a b c d", 1, 2), (1, "a b c d e", 1, 3), (2, "a b c d", 1, 4), (None, "a b c d", 1, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class_id int, node int")
+    assert sorted(map(tuple, jaccard.classes(docs).collect())) == [(1, 1, 2), (1, 1, 2), (2, 1, 2)]
+    assert jaccard.keep_one(docs).columns == docs.columns
 
 
-def test_same_id_never_pairs(spark):
-    docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "a b c d e"), (2, "a b c d"), (None, "a b c d")], "doc_id long, text string")
-    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.join(docs).collect()}
-    assert got == {(1, 2)}
+def test_ids_must_be_integers(spark):
+    docs = spark.createDataFrame([("x", "a b c")], "doc_id string, text string")
+    with pytest.raises(ValueError, match="integers"):
+        jaccard.classes(docs)
 
 
 @pytest.mark.parametrize("limit", [0, 10**6])
