@@ -10,10 +10,14 @@ Features of a line are binary: bins of its shares of symbols, capitals, digits,
 words that repeat the word before, and distinct words; of its number of words
 and mean word length; and whether it ends like a sentence.
 
-The field is trained by gradient ascent on the conditional likelihood of
-labelled documents, all of whose lines take the document's label. Training uses
-a bounded sample: the max_train labelled documents whose ids hash lowest.
-Labelling covers every line of every document.
+The field is trained by gradient ascent on the conditional likelihood of line
+labels. Only documents are labelled, so the lines' labels are latent: at first all
+lines take their document's label, and moves are free; then the field decodes them, under the
+constraint that at least half of a document's visible bytes keep its label, and
+is trained on, rounds times. So a heading in junk or a banner in prose
+changes sides, and moves between labels are seen. Training uses a bounded
+sample: the max_train labelled documents whose ids hash lowest. Labelling covers
+every line of every document.
 
 Defined cases: a null, empty or blank text has no lines, a null share, and is
 rejected. Ties in Viterbi decoding go to content. Without any labelled document
@@ -133,52 +137,87 @@ def decode(scores: np.ndarray, bounds: np.ndarray, moves: np.ndarray) -> np.ndar
     return labels
 
 
-def train(active: np.ndarray, bounds: np.ndarray, labels: np.ndarray, steps: int = 200, rate: float = 0.5, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights (WIDTH, 2) and moves (2, 2) by gradient ascent on the
-    mean conditional log-likelihood of the given labels of all lines."""
-    weights, moves = np.zeros((WIDTH, 2)), np.zeros((2, 2))
-    lens = np.diff(bounds)
-    order = np.argsort(-lens, kind="stable")
-    order = order[lens[order] > 0]
-    if not len(order):
-        return weights, moves
-    begin, lens = bounds[:-1][order], lens[order]
-    n, top = len(active), int(lens[0])
-    alive = [int(np.searchsorted(-lens, -t, side="left")) for t in range(top)]
-    truth = np.eye(2)[labels]
-    inner = np.ones(n, bool)
-    inner[begin] = False
-    pairs = np.zeros((2, 2))
-    np.add.at(pairs, (labels[np.flatnonzero(inner) - 1], labels[inner]), 1)
-    speed_w, speed_m = np.zeros_like(weights), np.zeros_like(moves)
-    for _ in range(steps):
-        scores = weights[active].sum(axis=1)
+class Chains:
+    """The lines of a sample, for the gradient of the likelihood of their labels."""
+
+    def __init__(self, active: np.ndarray, bounds: np.ndarray):
+        lens = np.diff(bounds)
+        order = np.argsort(-lens, kind="stable")
+        order = order[lens[order] > 0]
+        self.active, self.begin = active, bounds[:-1][order]
+        self.top = int(lens[order[0]]) if len(order) else 0
+        self.alive = [int(np.searchsorted(-lens[order], -t, side="left")) for t in range(self.top)]
+        inner = np.ones(len(active), bool)
+        inner[self.begin] = False
+        self.inner = np.flatnonzero(inner)
+
+    def slope(self, weights: np.ndarray, moves: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The gradient of the conditional log-likelihood of the labels by the
+        weights and the moves."""
+        n, begin = len(self.active), self.begin
+        scores = weights[self.active].sum(axis=1)
         ahead, after = np.empty((n, 2)), np.zeros((n, 2))
         ahead[begin] = scores[begin]
-        for t in range(1, top):
-            at = begin[: alive[t]] + t
+        for t in range(1, self.top):
+            at = begin[: self.alive[t]] + t
             ahead[at] = scores[at] + np.logaddexp(ahead[at - 1, :1] + moves[0], ahead[at - 1, 1:] + moves[1])
-        for t in range(top - 1, 0, -1):
-            at = begin[: alive[t]] + t
+        for t in range(self.top - 1, 0, -1):
+            at = begin[: self.alive[t]] + t
             onward = scores[at] + after[at]
             after[at - 1] = np.logaddexp(onward[:, :1] + moves[:, 0], onward[:, 1:] + moves[:, 1])
         both = ahead + after
         norm = np.logaddexp(both[:, 0], both[:, 1])
-        odds = np.exp(both - norm[:, None])
-        at = np.flatnonzero(inner)
+        gap = np.eye(2)[labels] - np.exp(both - norm[:, None])
+        at = self.inner
         joint = np.exp(ahead[at - 1][:, :, None] + moves[None] + (scores[at] + after[at])[:, None, :] - norm[at][:, None, None]).sum(axis=0)
+        pairs = np.zeros((2, 2))
+        np.add.at(pairs, (labels[at - 1], labels[at]), 1)
         slope = np.zeros_like(weights)
-        for k in range(active.shape[1]):
+        for k in range(self.active.shape[1]):
             for y in range(2):
-                slope[:, y] += np.bincount(active[:, k], (truth - odds)[:, y], minlength=WIDTH)
-        speed_w = 0.9 * speed_w + slope / n - ridge * weights
-        speed_m = 0.9 * speed_m + (pairs - joint) / n - ridge * moves
+                slope[:, y] += np.bincount(self.active[:, k], gap[:, y], minlength=WIDTH)
+        return slope, pairs - joint
+
+
+def train(chains: Chains, labels: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None, steps: int = 200, rate: float = 0.5, ridge: float = 1e-3, moving: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Feature weights (WIDTH, 2) and moves (2, 2) by gradient ascent on the
+    mean conditional log-likelihood of the given labels of all lines. The moves
+    stay as they are unless moving."""
+    weights, moves = start if start else (np.zeros((WIDTH, 2)), np.zeros((2, 2)))
+    n = len(chains.active)
+    if not n:
+        return weights, moves
+    weights, moves = weights.copy(), moves.copy()
+    speed_w, speed_m = np.zeros_like(weights), np.zeros_like(moves)
+    for _ in range(steps):
+        by_weights, by_moves = chains.slope(weights, moves, labels)
+        speed_w = 0.9 * speed_w + by_weights / n - ridge * weights
+        speed_m = 0.9 * speed_m + by_moves / n - ridge * moves
         weights += rate * speed_w
-        moves += rate * speed_m
+        if moving:
+            moves += rate * speed_m
     return weights, moves
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", max_train: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+def relabel(scores: np.ndarray, bounds: np.ndarray, moves: np.ndarray, visible: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """The decoded labels of all lines; given are the labels of their documents. If
+    less than half of a document's visible bytes kept its label, the lines that
+    speak least against it get it back."""
+    labels = decode(scores, bounds, moves).astype(np.int64)
+    doc = np.repeat(np.arange(len(given)), np.diff(bounds))
+    kept = np.bincount(doc, visible * (labels == given[doc]), minlength=len(given))
+    lack = np.bincount(doc, visible, minlength=len(given)) / 2 - kept
+    away = np.flatnonzero((labels != given[doc]) & (lack[doc] > 0))
+    margin = (scores[:, 1] - scores[:, 0]) * np.where(given[doc] == 0, 1, -1)
+    away = away[np.lexsort((margin[away], doc[away]))]
+    sums = np.concatenate([[0.0], np.cumsum(visible[away])])
+    first = np.searchsorted(doc[away], doc[away])
+    back = away[sums[:-1] - sums[first] < lack[doc[away]]]
+    labels[back] = given[doc[back]]
+    return labels
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", max_train: int = 2000, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Weights from at most max_train labelled documents, those whose ids hash lowest."""
     some = (
         labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{quality}`").cast("int").alias("quality"))
@@ -195,9 +234,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .limit(max_train)
         .toArrow()
     )
-    active, _, bounds = features(rows.column("text"))
-    bad = 1 - np.minimum(rows.column("quality").to_numpy(), 1)
-    return train(active, bounds, np.repeat(bad, np.diff(bounds)).astype(np.int64))
+    active, visible, bounds = features(rows.column("text"))
+    bad = (1 - np.minimum(rows.column("quality").to_numpy(), 1)).astype(np.int64)
+    chains = Chains(active, bounds)
+    # Labels that never change within a document would teach that they never may.
+    found = train(chains, np.repeat(bad, np.diff(bounds)), steps=120, moving=False)
+    for _ in range(rounds):
+        labels = relabel(found[0][active].sum(axis=1), bounds, found[1], visible, bad)
+        found = train(chains, labels, found, steps=40)
+    return found
 
 
 def assess(docs: DataFrame, weights: np.ndarray, moves: np.ndarray, text: str = "text", min_share: float = 0.5) -> DataFrame:
