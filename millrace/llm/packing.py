@@ -14,16 +14,22 @@ S the running token count, f[j] = min over i of f[i] + S[i], plus capacity - S[j
 and the cut's penalty; the candidates i form a sliding range, so that a monotone
 queue gives each minimum in constant time.
 
-Order and shards: documents are packed in the order of doc_id. Shards are the
-ranges of shard_docs consecutive ids, so each is packed by itself, and the
-windows of all shards in order are windows over the whole order. Equal costs
-prefer the earliest cut.
-
-Defined cases: null and empty texts hold no tokens and are in no window. Rows
-with a null doc_id form a shard of their own. Rows that repeat an id follow each
-other in the order of their text. An empty table gives an empty result. Columns
-other than the id and the text are ignored. No text is cut short: the spans of
-all windows cover every text from its first character to its last.
+Order and shards: documents are packed in the order of doc_id, then of a hash of
+the text, null ids last. A shard is the next shard_docs rows of that order, by
+their place in it and not by the value of the id, so that sparse and hashed ids
+are packed like dense ones; each is packed by itself, and the windows of all
+shards in order are windows over the whole order. So a window ends at the end of
+each shard, which costs half a window in shard_docs documents. The first keys of
+the shards are found exactly, by counting the sorted keys of all partitions, and
+sent to every task (25 bytes a shard). Equal costs prefer the earliest cut.
+
+Defined cases: null and empty texts hold no tokens and are in no window. Ids must
+be integers (else ValueError). Rows that repeat an id, or have none, follow each
+other in the order of their text's hash, and may be in different shards; rows that
+repeat id and text are told apart by their place in the table. An empty table
+gives an empty result. Columns other than the id and the text are ignored. No
+text is cut short: the spans of all windows cover every text from its first
+character to its last.
 """
 
 from __future__ import annotations
@@ -36,13 +42,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import shared_dir
+
+from . import blobs, frames
 from . import textgrid as tg
 from .memory import tidy
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
-UNITS = "shard long, doc_id long, tie binary, tokens array<int>, ends array<int>, kinds array<byte>"
+UNITS = "shard long, doc_id long, tie long, tokens array<int>, ends array<int>, kinds array<byte>"
 WINDOWS = "shard long, window int, doc_ids array<long>, starts array<int>, ends array<int>, n_tokens int, padding int"
 
 
@@ -102,6 +111,41 @@ def cuts(tokens: np.ndarray, kinds: np.ndarray, capacity: int, sentence_penalty:
     return out[::-1]
 
 
+def _packed(ids: pa.Array, tie: pa.Array, salt: pa.Array) -> np.ndarray:
+    """Keys as bytes that sort like (id, tie, salt) with null ids last."""
+    out = np.zeros((len(ids), 25), np.uint8)
+    out[:, 0] = ids.is_null().to_numpy(zero_copy_only=False)
+    for k, column in enumerate((ids.fill_null(0), tie, salt)):
+        biased = column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        out[:, 1 + 8 * k : 9 + 8 * k] = biased.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S25").ravel()
+
+
+def first_keys(rows: DataFrame, shard_docs: int) -> np.ndarray:
+    """The first key of every shard but the first. rows: doc_id, tie, salt."""
+    spark = rows.sparkSession
+    shared_dir(spark)
+    keys = ["doc_id is null", "doc_id", "tie", "salt"]
+    ordered = rows.repartitionByRange(blobs.width(spark), *map(F.expr, keys)).sortWithinPartitions(*map(F.expr, keys)).checkpoint().withColumn("part", F.spark_partition_id())
+    counts = {r["part"]: r["count"] for r in ordered.groupBy("part").count().collect()}
+    before, total = {}, 0
+    for part in sorted(counts):
+        before[part] = total
+        total += counts[part]
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            if batch.num_rows:
+                at = before[batch.column("part")[0].as_py()] if at is None else at
+                place = np.arange(at, at + batch.num_rows)
+                at += batch.num_rows
+                yield batch.select(["doc_id", "tie", "salt"]).take(pa.array(np.flatnonzero((place % shard_docs == 0) & (place > 0))))
+
+    found = ordered.mapInArrow(tidy(pick), "doc_id long, tie long, salt long").toArrow().combine_chunks()
+    return np.sort(_packed(*(found.column(c).combine_chunks() for c in ("doc_id", "tie", "salt"))))
+
+
 def pack(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -109,18 +153,23 @@ def pack(
     capacity: int = 2048,
     sentence_penalty: float = 64.0,
     truncation_penalty: float = 512.0,
-    shard_docs: int = 1024,
+    shard_docs: int = 8192,
 ) -> DataFrame:
     """Windows: shard, window, and for each of its pieces the document and the
     span of characters [start, end) of its text; tokens and padding in all."""
 
+    content = F.col(f"`{text}`").cast("string")
+    rows = docs.select(frames.integers(docs, doc_id).alias("doc_id"), F.xxhash64(content).alias("tie"), F.monotonically_increasing_id().alias("salt"), content.alias("text"))
+    heads = docs.sparkSession.sparkContext.broadcast(first_keys(rows.drop("text"), shard_docs))
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tg.slices(batch, "text"):
                 tokens, ends, kinds, first = units(part.column("text"), capacity)
-                ids = part.column("doc_id")
+                ids, tie = part.column("doc_id"), part.column("tie")
+                shard = np.searchsorted(heads.value, _packed(ids, tie, part.column("salt")), side="right")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("shard"), ids, part.column("tie"), tg.lists(tokens, first, pa.int32()), tg.lists(ends, first, pa.int32()), tg.lists(kinds, first, pa.int8())],
+                    [pa.array(shard), ids, tie, tg.lists(tokens, first, pa.int32()), tg.lists(ends, first, pa.int32()), tg.lists(kinds, first, pa.int8())],
                     names=["shard", "doc_id", "tie", "tokens", "ends", "kinds"],
                 )
 
@@ -154,10 +203,4 @@ def pack(
         ]
         return pa.Table.from_arrays(out, names=["shard", "window", "doc_ids", "starts", "ends", "n_tokens", "padding"])
 
-    rows = docs.select(
-        F.expr(f"floor(cast(`{doc_id}` as bigint) / {shard_docs})").cast("long").alias("shard"),
-        F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
-        F.unhex(F.md5(F.col(f"`{text}`").cast("string"))).alias("tie"),
-        F.col(f"`{text}`").cast("string").alias("text"),
-    )
     return rows.mapInArrow(tidy(measure), UNITS).groupBy("shard").applyInArrow(fill, WINDOWS)

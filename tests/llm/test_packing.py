@@ -50,7 +50,7 @@ def test_units_tile_the_text():
 def test_windows_cover_all_documents(spark, odd, empty):
     got = packing.pack(odd, capacity=64, shard_docs=4).collect()
     seen = {}
-    for r in sorted(got, key=lambda r: (r["shard"] is None, r["shard"], r["window"])):
+    for r in sorted(got, key=lambda r: (r["shard"], r["window"])):
         assert r["n_tokens"] + r["padding"] == 64 and r["n_tokens"] > 0
         for d, a, b in zip(r["doc_ids"], r["starts"], r["ends"]):
             seen.setdefault(d, []).append((a, b))
@@ -60,3 +60,33 @@ def test_windows_cover_all_documents(spark, odd, empty):
         if d != 1:
             assert "".join(texts[d][a:b] for a, b in spans) == texts[d]
     assert packing.pack(empty).count() == 0
+
+
+def test_windows_do_not_depend_on_the_values_of_ids(spark):
+    rng = np.random.default_rng(15)
+    texts = [" ".join("w" * int(k) for k in rng.integers(1, 9, int(rng.integers(5, 60)))) + "." for _ in range(300)]
+    hashed = sorted(int(x) for x in rng.integers(-(2**62), 2**62, 300))
+    got = []
+    for ids, parts in ((range(300), 2), ([i * 5000 for i in range(300)], 5), (hashed, 7)):
+        docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(parts)
+        place = {d: k for k, d in enumerate(ids)}
+        rows = packing.pack(docs, capacity=100, shard_docs=64).collect()
+        got.append(sorted((r["shard"], r["window"], [place[d] for d in r["doc_ids"]], r["starts"], r["ends"]) for r in rows))
+    assert got[0] == got[1] == got[2] and got[0][-1][0] == 4
+
+
+def test_null_and_repeated_ids_are_split_over_shards(spark):
+    rows = [(None, f"text number {k}.") for k in range(40)] + [(7, f"other {k}.") for k in range(40)] + [(9, "the same.")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = packing.pack(docs, capacity=50, shard_docs=16).collect()
+    assert {r["shard"] for r in got} == set(range(8))
+    assert sum(r["n_tokens"] for r in got) == sum(len(t.split()) for _, t in rows)
+
+
+def test_equal_costs_prefer_the_earliest_cut_and_ids_are_integers(spark):
+    assert packing.cuts(np.array([4, 2, 4]), np.array([1, 1, 0]), 6, 1.0, 2.0) == [1, 3]
+    try:
+        packing.pack(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+        raise AssertionError
+    except ValueError as e:
+        assert "integers" in str(e)
