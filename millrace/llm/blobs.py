@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import textgrid as tg
 from .memory import tidy
 
 #: Bytes that a task holds before it sends them on.
@@ -127,6 +128,54 @@ def receive(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> Columns
     return {c: np.concatenate(v) if v else np.zeros(0, kinds[c]) for c, v in held.items()}
 
 
+#: Bits of a filter at most (16 MB), and the ranges that it is made in.
+FILTER_BITS, RANGES = 1 << 27, 64
+
+
+def filter_of(df: DataFrame, column: str, rows: int) -> np.ndarray:
+    """A bitmap of the hashes of a long column, of bounded size however many rows
+    there are; more rows only let more other values pass. Each task makes the bits
+    of a range of hashes, so that the driver gets the bitmap and no keys."""
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(12, (16 * rows).bit_length()))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[Columns]:
+        for batch in batches:
+            yield {"key": tg.mix(batch.column(0).to_numpy().view(np.uint64))}
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part = batch.column("part")[k].as_py()
+                key = np.frombuffer(batch.column("key")[k].as_buffer(), "<u8")
+                flags = np.zeros(bits // RANGES, bool)
+                flags[(key >> np.uint64(65 - bits.bit_length())).astype(np.int64) - part * (bits // RANGES)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(flags).tobytes()], pa.binary())], names=["part", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, x in zip(batch.column("part").to_pylist(), batch.column("bits")):
+                own = np.frombuffer(x.as_buffer(), np.uint8)
+                held[part] = held[part] | own if part in held else own
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["part", "bits"])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from join(mark(batches))
+
+    found = send(df.select(column), hashes, {"key": "<u8"}, RANGES).mapInArrow(tidy(both), "part int, bits binary").toArrow()
+    out = np.zeros((RANGES, bits // RANGES // 8), np.uint8)
+    for part, x in zip(found.column("part").to_pylist(), found.column("bits").to_pylist()):
+        out[part] |= np.frombuffer(x, np.uint8)
+    return out.ravel()
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a filter lets pass: all that it was made of, and few others."""
+    at = (tg.mix(keys) >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins, and the end of the last."""
     if not len(sorted_keys):

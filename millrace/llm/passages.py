@@ -19,7 +19,11 @@
 A passage of over 50 words leaves at least min_run words of whole paragraphs in
 nearly all cases; up to about two paragraphs at its ends are not removed.
 
-Defined cases: null and empty texts, and rows with a null id, are untouched.
+Nothing unbounded meets in one task: large buckets are cut into pairs of tiles, and
+of the places of a cluster that a slice of documents holds only the first goes on
+to be compared with those of other slices.
+
+Defined cases: ids must be integers (else ValueError); null and empty texts, and rows with a null id, are untouched.
 Rows that repeat both id and text count once and are treated alike. Documents
 that differ but share an id are told apart by their text. Ties (equal hashes
 side by side) make no cut, so a text of one repeated word is one paragraph. An
@@ -38,19 +42,21 @@ from pyspark.sql import functions as F
 
 from millrace.session import shared_dir
 
-from . import blobs, graph, jaccard
+from . import blobs, frames, graph, jaccard
 from . import textgrid as tg
 from .memory import tidy
 
 U = np.uint64
-BROADCAST_KEYS = 8_000_000
-BROADCAST_ROWS = 500_000
+#: Clusters' members that are sent to every task (16 bytes each); more are joined.
+BROADCAST_KEYS = 1_000_000
+#: Bytes of the numbers of paragraphs to remove that are sent to every task.
+BROADCAST_BYTES = 32 << 20
 TILE = 1024
 _Q = 0xC2B2AE3D27D4EB4F
 _Q_INV = pow(_Q, -1, 1 << 64)
 _SALTS = np.random.default_rng(41).integers(1, 1 << 63, 64).astype(np.uint64)
 BAND = {"key": "<u4", "content": "<u8", "bits": "<u4", "items": "<u2"}
-PLACE = {"key": "<u8", "doc": "<i8", "sign": "<u4", "at": "<i4", "words": "<i4"}
+PLACE = {"key": "<u8", "doc": "<i8", "sign": "<u4", "at": "<i4", "words": "<i4", "sure": "u1"}
 
 
 class Paragraphs:
@@ -184,21 +190,20 @@ def collisions(docs: DataFrame, parts: int, radius: int, bands: int, rows: int,
     return found.withColumn("bucket", F.xxhash64("bucket", F.spark_partition_id()))
 
 
-def verified(docs: DataFrame, met: DataFrame, parts: int, radius: int, threshold: float) -> DataFrame:
-    """Edges (node, root) between contents whose exact Jaccard is high enough."""
+def verified(docs: DataFrame, met: DataFrame, parts: int, radius: int, threshold: float, tile: int = TILE) -> DataFrame:
+    """Edges (node, root) between contents whose exact Jaccard is high enough.
+    Buckets of over two tiles are cut by their contents' hashes, and each pair of
+    tiles is a group of its own, wherever it is counted."""
+    spark = docs.sparkSession
     wanted = met.select("content").distinct().checkpoint()
-    few = None
-    if wanted.count() <= BROADCAST_KEYS:
-        few = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column("content").to_numpy().view(np.uint64)))
+    # A filter of bounded size keeps other contents' sets at home; the join decides.
+    near = spark.sparkContext.broadcast(blobs.filter_of(wanted, "content", wanted.count()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = np.zeros(0, np.uint64)
         for _, p in _cut(batches, radius):
             content, one = np.unique(p.contents(), return_index=True)
-            if few is not None:
-                here = _member(few.value, content)[0]
-                content, one = content[here], one[here]
-            fresh = ~_member(sent, content)[0]
+            fresh = blobs.passes(near.value, content) & ~_member(sent, content)[0]
             content, one = content[fresh], one[fresh]
             if not len(content):
                 continue
@@ -207,45 +212,76 @@ def verified(docs: DataFrame, met: DataFrame, parts: int, radius: int, threshold
             packed = [np.unique(p.items[a:b]).tobytes() for a, b in zip(p.begin[one], p.stop[one])]
             yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), pa.array(packed, pa.binary())], names=["content", "items"])
 
+    def dense(items: list[np.ndarray], size: np.ndarray, left: slice, right: slice) -> tuple[np.ndarray, np.ndarray]:
+        over = jaccard.dense_overlap(items[left], items[right], False, 1024)
+        over *= np.float32(1 + threshold)
+        over -= np.float32(threshold) * size[left].astype(np.float32)[:, None]
+        over -= np.float32(threshold) * size[right].astype(np.float32)[None, :]
+        i, j = np.nonzero(over >= -1e-3)
+        return graph.stars(i + left.start, j + right.start)
+
+    keys = ["bucket", "low", "high"]
+
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        bucket, content = rows.column("bucket").to_numpy(), rows.column("content").to_numpy()
-        order = np.lexsort((content, bucket))
-        bucket, content = bucket[order], content[order]
-        items = rows.column("items").combine_chunks()
-        items = [np.frombuffer(items[int(i)].as_buffer(), "<u8") for i in order]
-        size = np.array([len(i) for i in items])
-        bounds = blobs.runs(bucket)
-        x, y = [], []
-        wide = np.diff(bounds) >= jaccard.DENSE_FROM
-        for a, b in zip(bounds[:-1][wide], bounds[1:][wide]):
-            # Tiles keep the matrices small, however large the bucket.
-            for p in range(a, b, TILE):
-                for q in range(p, b, TILE):
-                    left, right = slice(p, min(b, p + TILE)), slice(q, min(b, q + TILE))
-                    over = jaccard.dense_overlap(items[left], items[right], False, 1024)
-                    over *= np.float32(1 + threshold)
-                    over -= np.float32(threshold) * size[left].astype(np.float32)[:, None]
-                    over -= np.float32(threshold) * size[right].astype(np.float32)[None, :]
-                    i, j = np.nonzero(over >= -1e-3)
-                    i, j = graph.stars(i + p, j + q)
+        for rows in jaccard._streamed(batches, keys, jaccard.HELD):
+            cols = [rows.column(c).to_numpy() for c in keys]
+            side, content = rows.column("side").to_numpy(), rows.column("content").to_numpy()
+            items = rows.column("items").combine_chunks()
+            items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+            items = [np.frombuffer(i.as_buffer(), "<u8") for i in items]
+            size = np.array([len(i) for i in items])
+            new = np.ones(len(size), bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+            bounds = np.append(np.flatnonzero(new), len(size))
+            wide = np.diff(bounds) >= jaccard.DENSE_FROM
+            x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(bounds[:-1][wide].tolist(), bounds[1:][wide].tolist()):
+                if cols[1][a] != cols[2][a]:
+                    split = a + int(np.searchsorted(side[a:b], cols[2][a]))
+                    pairs = [(slice(a, split), slice(split, b))] if a < split < b else []
+                else:
+                    cuts = [slice(p, min(b, p + tile)) for p in range(a, b, tile)]
+                    pairs = [(p, q) for k, p in enumerate(cuts) for q in cuts[k:]]
+                for left, right in pairs:
+                    i, j = dense(items, size, left, right)
                     x.append(i)
                     y.append(j)
-        few = np.flatnonzero(~np.repeat(wide, np.diff(bounds)))
-        if len(few):
-            doc = np.repeat(few, size[few])
-            i, j, over = jaccard.sparse_overlap(np.repeat(bucket[few], size[few]), doc, np.concatenate([items[k] for k in few]))
-            hit = over >= threshold * (size[i] + size[j] - over) - 1e-9
-            x.append(i[hit])
-            y.append(j[hit])
-        x, y = graph.stars(content[np.concatenate(x)], content[np.concatenate(y)])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["node", "root"])
+            few = np.flatnonzero(~np.repeat(wide, np.diff(bounds)))
+            if len(few):
+                group = np.repeat(np.arange(len(wide)), np.diff(bounds))[few]
+                i, j, over = jaccard.sparse_overlap(np.repeat(group, size[few]), np.repeat(few, size[few]), np.concatenate([items[k] for k in few]))
+                hit = over >= threshold * (size[i] + size[j] - over) - 1e-9
+                x.append(i[hit])
+                y.append(j[hit])
+            i, j = graph.stars(content[np.concatenate(x)], content[np.concatenate(y)])
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64())], names=["node", "root"])
 
     found = docs.mapInArrow(tidy(sets), "content long, items binary").groupBy("content").agg(F.first("items").alias("items"))
-    return met.join(found, "content").repartition(parts, "bucket").mapInArrow(tidy(lead), "node long, root long")
+    wide = met.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 2")
+    placed = met.join(wide, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("content"), F.col("tiles").cast("long")).cast("int"))
+    placed = placed.select("bucket", "content", "side", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    placed = placed.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "content")
+    held = placed.join(found, "content").repartition(parts, *keys).sortWithinPartitions(*keys, "side", "content")
+    return held.mapInArrow(tidy(lead), "node long, root long")
+
+
+def _sure(c: blobs.Columns) -> blobs.Columns:
+    """Places of a slice, with sure: whether there is an earlier place of the same
+    cluster in it. These can go, and needn't meet the others: their key is another,
+    so that a cluster that many documents hold has few places in one task."""
+    order = np.lexsort((c["at"], c["sign"], c["doc"], c["key"]))
+    c = {k: v[order] for k, v in c.items()}
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([c[k][1:] != c[k][:-1] for k in ("key", "doc", "sign", "at")], axis=0)
+    c = {k: v[fresh] for k, v in c.items()}
+    c["sure"] = np.zeros(len(c["key"]), np.uint8)
+    c["sure"][1:] = c["key"][1:] == c["key"][:-1]
+    c["key"] = np.where(c["sure"] > 0, _holder(c), c["key"])
+    return c
+
+
+def _holder(c: blobs.Columns) -> np.ndarray:
+    return tg.mix(c["doc"].view(np.uint64) + c["sign"].astype(np.uint64) * U(_Q))
 
 
 def removable(docs: DataFrame, clusters: DataFrame, parts: int, radius: int, min_run: int) -> DataFrame:
@@ -267,10 +303,14 @@ def removable(docs: DataFrame, clusters: DataFrame, parts: int, radius: int, min
                 here, at = _member(node, key)
                 key[here] = root[at[here]]
             ids = part.column("doc_id").to_numpy()
-            yield {"key": key, "doc": ids[p.doc], "sign": p.signs()[p.doc], "at": np.arange(len(p.doc)) - p.first[p.doc], "words": p.stop - p.begin}
+            yield _sure({"key": key, "doc": ids[p.doc], "sign": p.signs()[p.doc], "at": np.arange(len(p.doc)) - p.first[p.doc], "words": p.stop - p.begin})
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[blobs.Columns]:
         c = blobs.receive(batches, PLACE)
+        sure = c["sure"] > 0
+        if sure.any():
+            yield {k: v[sure] for k, v in c.items()}
+            c = {k: v[~sure] for k, v in c.items()}
         order = np.argsort(c["key"], kind="stable")
         bounds = blobs.runs(c["key"][order])
         several = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
@@ -284,14 +324,18 @@ def removable(docs: DataFrame, clusters: DataFrame, parts: int, radius: int, min
         new = np.ones(len(c["key"]), bool)
         new[1:] = c["key"][1:] != c["key"][:-1]
         c = {k: v[~new] for k, v in c.items()}
-        c["key"] = tg.mix(c["doc"].view(np.uint64) + c["sign"].astype(np.uint64) * U(_Q))
+        c["key"] = _holder(c)
         yield c
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = blobs.receive(batches, PLACE)
         order = np.lexsort((c["at"], c["sign"], c["doc"]))
         c = {k: v[order] for k, v in c.items()}
-        n = len(order)
+        # Repeated rows may say the same twice.
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = np.any([c[k][1:] != c[k][:-1] for k in ("doc", "sign", "at")], axis=0)
+        c = {k: v[fresh] for k, v in c.items()}
+        n = len(c["at"])
         if not n:
             return
         whole = np.ones(n, bool)
@@ -310,16 +354,17 @@ def removable(docs: DataFrame, clusters: DataFrame, parts: int, radius: int, min
     if few is None:
         # Too many clusters to hold: the roots are joined by key.
         def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for c in send(batches):
-                cols = [c["key"].view(np.int64), c["doc"], c["sign"].astype(np.int64), c["at"].astype(np.int32), c["words"].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=list(PLACE))
+            for part, p in _cut(batches, radius):
+                ids = part.column("doc_id").to_numpy()
+                cols = [p.contents().view(np.int64), ids[p.doc], p.signs()[p.doc].astype(np.int64), (np.arange(len(p.doc)) - p.first[p.doc]).astype(np.int32), (p.stop - p.begin).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=list(PLACE)[:5])
 
         rows = docs.mapInArrow(tidy(plain), "key long, doc long, sign long, at int, words int")
         rows = rows.join(clusters.withColumnRenamed("node", "key"), "key", "left").withColumn("key", F.coalesce("root", "key")).drop("root")
 
         def again(batches: Iterator[pa.RecordBatch]) -> Iterator[blobs.Columns]:
             for batch in batches:
-                yield {k: batch.column(k).to_numpy().astype("<i8").view("<u8") if k == "key" else batch.column(k).to_numpy() for k in PLACE}
+                yield _sure({k: batch.column(k).to_numpy().astype("<i8").view("<u8") if k == "key" else batch.column(k).to_numpy() for k in list(PLACE)[:5]})
 
         first = blobs.send(rows, again, PLACE, parts)
     else:
@@ -343,12 +388,12 @@ def dedup(
     spark = docs.sparkSession
     shared_dir(spark)
     parts = blobs.width(spark)
-    plain = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null")
+    plain = docs.select(frames.integers(docs, doc_id).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null")
     met = collisions(plain, parts, radius, bands, rows, threshold).checkpoint()
     clusters = graph.components(spark, verified(plain, met, parts, radius, threshold))
     gone = removable(plain, clusters, parts, radius, min_run).checkpoint()
     lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("sign", "gone")).alias("gone"))
-    if gone.count() <= BROADCAST_ROWS:
+    if (gone.agg(F.sum(40 + 4 * F.size("gone"))).first()[0] or 0) <= BROADCAST_BYTES:
         lists = F.broadcast(lists)
     names = [c for c in docs.columns if c not in ADDED]
     inner = [f"c{i}" for i in range(len(names))]

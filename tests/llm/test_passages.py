@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from millrace.llm import passages
+from millrace.llm import blobs, passages
 from tests.llm.conftest import prose
 
 
@@ -35,7 +35,7 @@ def repeats(texts, size):
 def test_repeated_passages_stay_once(spark, planted, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(passages, "BROADCAST_KEYS", 0)
-        monkeypatch.setattr(passages, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(passages, "BROADCAST_BYTES", 0)
     rows, holds, _ = planted
     got = {r["doc_id"]: r for r in passages.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     firsts = {min(i for i, k in holds.items() if k == p) for p in set(holds.values())}
@@ -84,3 +84,75 @@ def test_equal_documents_of_other_ids_are_emptied(spark):
     text = prose(rng, "en", 100)
     got = {r["doc_id"]: r["text"] for r in passages.dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()}
     assert got == {1: text, 2: ""}
+
+
+def expected(rows, radius, threshold, min_run):
+    """Removed words of each document, by plain loops over all pairs of paragraphs."""
+    ids = [i for i, _ in rows]
+    p = passages.Paragraphs(pa.array([t for _, t in rows]), radius)
+    sets = [set(p.items[a:b].tolist()) for a, b in zip(p.begin, p.stop)]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(sets)):
+        for y in range(x):
+            if len(sets[x] & sets[y]) >= threshold * len(sets[x] | sets[y]):
+                a, b = find(x), find(y)
+                root[max(a, b)] = min(a, b)
+    first = {}
+    for x in sorted(range(len(sets)), key=lambda x: (ids[p.doc[x]], x)):
+        first.setdefault(find(x), x)
+    out = {}
+    for d, i in enumerate(ids):
+        run, total = 0, 0
+        for x in [*range(p.first[d], p.first[d + 1]), None]:
+            if x is not None and first[find(x)] != x:
+                run += int(p.stop[x] - p.begin[x])
+            else:
+                total += run if run >= min_run else 0
+                run = 0
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("tile", [passages.TILE, 8])
+def test_removed_words_equal_brute_force(spark, planted, tile, monkeypatch):
+    """Bands may miss a pair at the threshold, but equal paragraphs never."""
+    whole = passages.verified
+    monkeypatch.setattr(passages, "verified", lambda *a: whole(*a, tile=tile))
+    rows, _, _ = planted
+    rows = rows + [(100 + i, t) for i, t in rows[:40:7]]
+    got = {r["doc_id"]: r["passages_removed_words"] for r in passages.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), bands=12, rows=1).collect()}
+    assert got == expected(rows, 4, 0.8, 25)
+
+
+def test_a_passage_in_every_document(spark):
+    rng = np.random.default_rng(30)
+    shared = prose(rng, "en", 70)
+    rows = [(i, f"{prose(rng, 'de', 40)} {shared} {prose(rng, 'de', 40)}") for i in range(300)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").repartition(6)
+    got = passages.dedup(docs).collect()
+    assert len(got) == 303
+    assert {r["doc_id"] for r in got if not r["passages_removed_words"]} == {0}
+
+
+def test_filters_pass_all_their_keys(spark):
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 3000)
+    bits = blobs.filter_of(spark.createDataFrame([(int(k),) for k in keys], "k long"), "k", 3000)
+    assert blobs.passes(bits, keys.view(np.uint64)).all()
+    others = np.random.default_rng(2).integers(0, 2**63 - 1, 3000).view(np.uint64)
+    assert blobs.passes(bits, others).mean() < 0.1
+    assert not blobs.passes(blobs.filter_of(spark.createDataFrame([], "k long"), "k", 0), others).any()
+
+
+def test_clashing_columns_and_ids(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(1, prose(rng, "en", 60), 5, "x", 1)], "doc_id long, text string, passages_words int, gone string, sign int")
+    got = passages.dedup(docs)
+    assert got.columns == ["doc_id", "text", "gone", "sign", *passages.ADDED] and got.collect()[0]["gone"] == "x"
+    with pytest.raises(ValueError, match="integers"):
+        passages.dedup(docs.selectExpr("'a' as doc_id", "text"))
