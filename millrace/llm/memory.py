@@ -17,6 +17,15 @@ def release() -> None:
         pass
 
 
+def few_arenas(most: int = 2) -> None:
+    """Lets threads of native libraries share that many of the C library's arenas,
+    each of which keeps freed memory for itself."""
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-8, most)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator]) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
     """run, with its free memory given back when a task ends."""
 
