@@ -1,20 +1,24 @@
 """Language-model scoring with a gated recurrent network in numpy.
 
 Words are lower-cased runs of bytes other than ASCII white space. Their counts
-over all documents give the vocabulary: the most frequent words, in frequency
-order, cut into classes of equal size. Its size grows with the square root of
-the number of distinct words. The output softmax is factored: P(word) =
-P(class | state) * P(word | class, state). Every other word is the unknown word
-for the network, and is spelled: its probability is that of the unknown word
-times that of its bytes and its end, each given the two bytes before. The
-spelling's counts are of all unknown words of the corpus.
+over all documents give the vocabulary, whose size grows with the square root of
+the number of distinct words. The output softmax is factored by classes:
+P(word) = P(class | state) * P(word | class, state). The most frequent words are
+cut into classes of equal size, in frequency order. All other words of the
+vocabulary are cut into bands of equal frequency; a band is a class whose words
+have their share of the band's count as P(word | class), and enter the network
+alike. Every word that the vocabulary lacks is the unknown word for the network,
+and is spelled: its probability is that of the unknown word times that of its
+bytes and its end, each given the two bytes before. The spelling's counts are of
+all unknown words of the corpus.
 
 Training reads every document once. Documents are laid end to end in lanes that
 advance together; the gradient is cut off after window steps, the state is
 carried on to the next window and cleared where a document begins. Tasks train
-copies of the network on their own documents; after each round, which takes its
-share of every task's slices, the copies are averaged by their token counts and
-sent out again.
+copies of the network on their own documents, in rounds: each round takes every
+rounds-th document of every task, however few it has, and after it the copies are
+averaged by their token counts and sent out again. Small tasks use fewer lanes, so
+that they make enough steps.
 
 Scoring carries the state through whole documents, window by window, so that the
 result is the log-likelihood of the complete document, from its first word to
@@ -46,8 +50,12 @@ END, UNKNOWN, SPECIAL = 0, 1, 2
 GROUP = 48 << 20
 LIMIT = 4.0
 COUNT = {"key": "<u8", "n": "<i8"}
-#: Words of the vocabulary for each square root of a distinct word.
-GROWTH = 4
+#: Words of the vocabulary for each square root of a distinct word, and the most
+#: that are sent to every task (20 bytes each). Words beyond it are spelled.
+GROWTH = 128
+MOST_WORDS = 1 << 22
+#: Steps that a task's share of a round should make, if its lanes can be cut for it.
+STEPS = 60
 #: A spelling's context: the low five bits of the byte before last, and the last
 #: byte. Space stands for what is before a word, and for its end.
 CELLS, SPACE = 32 * 256 * 256, 32
@@ -57,32 +65,55 @@ Net = dict[str, np.ndarray]
 
 
 class Shape(NamedTuple):
-    classes: int = 16
+    classes: int = 32
     slots: int = 32
+    bands: int = 24
     hidden: int = 16
-    lanes: int = 512
+    lanes: int = 1024
     window: int = 32
 
     @property
     def words(self) -> int:
+        """Words, and marks, that have a place of their own in the network."""
         return self.classes * self.slots
 
-    def holding(self, words: int) -> Shape:
-        """This shape, or if it has too few words, one of about as many classes as slots."""
-        if words <= self.words:
-            return self
-        classes = math.isqrt(words - 1) + 1
-        return self._replace(classes=classes, slots=-(-words // classes))
-
-
-def vocabulary(docs: DataFrame, least: int, growth: float = 0) -> np.ndarray:
-    """Hashes of the most frequent words over all documents, by frequency: least
-    of them, or growth for each square root of a distinct word, if that is more.
-    docs has the column text."""
+    @property
+    def inputs(self) -> int:
+        return self.words + self.bands
+
+
+class Table(NamedTuple):
+    """The vocabulary by ascending hash: each word's number in the network (that
+    of its band, if it has none of its own), and its log-probability in its band."""
+
+    known: np.ndarray
+    number: np.ndarray
+    logp: np.ndarray
+
+
+def table(vocab: np.ndarray, counts: np.ndarray, shape: Shape) -> Table:
+    """vocab: hashes by descending count."""
+    own = shape.words - SPECIAL
+    number = np.minimum(np.arange(len(vocab)) + SPECIAL, shape.words).astype(np.int32)
+    logp = np.zeros(len(vocab), np.float32)
+    if len(vocab) > own:
+        n = counts[own:].astype(np.float64)
+        before = np.cumsum(n) - n
+        band = np.minimum((before * shape.bands / n.sum()).astype(np.int64), shape.bands - 1)
+        number[own:] += band.astype(np.int32)
+        logp[own:] = np.log(n / np.bincount(band, n, minlength=shape.bands)[band])
+    order = np.argsort(vocab)
+    return Table(vocab[order], number[order], logp[order])
+
+
+def vocabulary(docs: DataFrame, least: int, growth: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent words over all documents, by
+    frequency: least of them, or growth for each square root of a distinct word, if
+    that is more, up to MOST_WORDS. docs has the column text."""
     parts = blobs.width(docs.sparkSession)
 
     def wanted(distinct: int) -> int:
-        return max(least, int(growth * math.sqrt(distinct)))
+        return max(least, min(int(growth * math.sqrt(distinct)), MOST_WORDS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[blobs.Columns]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -117,42 +148,43 @@ def vocabulary(docs: DataFrame, least: int, growth: float = 0) -> np.ndarray:
     word, n = found.column("word").to_numpy(), found.column("n").to_numpy()
     size = wanted(int(word[n < 0].sum()))
     word, n = word[n > 0], n[n > 0]
-    return word[np.lexsort((word, -n))[:size]].view(np.uint64)
+    best = np.lexsort((word.view(np.uint64), -n))[:size]
+    return word[best].view(np.uint64), n[best]
 
 
 def fresh(shape: Shape, seed: int) -> Net:
     rng = np.random.default_rng(seed)
-    h, v = shape.hidden, shape.words
+    h = shape.hidden
 
     def draw(*dims: int, scale: float) -> np.ndarray:
         return rng.normal(0, scale, dims).astype(np.float32)
 
     return {
-        "x": draw(v, 3 * h, scale=0.1),
+        "x": draw(shape.inputs, 3 * h, scale=0.1),
         "u": draw(h, 3 * h, scale=h**-0.5),
-        "c": draw(h, shape.classes, scale=0.1),
-        "cb": np.zeros(shape.classes, np.float32),
+        "c": draw(h, shape.classes + shape.bands, scale=0.1),
+        "cb": np.zeros(shape.classes + shape.bands, np.float32),
         "w": draw(shape.classes, h, shape.slots, scale=0.1),
         "wb": np.zeros((shape.classes, shape.slots), np.float32),
     }
 
 
-def number(w: tg.Words, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all documents, each followed by the end mark, and where
-    each document begins (one more than there are). vocab: hashes by rank."""
+def number(w: tg.Words, words: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of all documents, each followed by the end mark, the tokens'
+    log-probabilities in their bands, and where each document begins (one more than
+    there are)."""
     docs = len(w.first) - 1
-    kind = np.uint16 if len(vocab) + SPECIAL <= 1 << 16 else np.int32
-    ids = np.full(len(w.hash), UNKNOWN, kind)
-    if len(vocab):
-        order = np.argsort(vocab)
-        known = vocab[order]
-        at = np.minimum(np.searchsorted(known, w.hash), len(known) - 1)
-        hit = known[at] == w.hash
-        ids[hit] = (order[at[hit]] + SPECIAL).astype(kind)
+    ids = np.full(len(w.hash), UNKNOWN, np.uint16)
+    share = np.zeros(len(w.hash), np.float32)
+    if len(words.known):
+        at = np.minimum(np.searchsorted(words.known, w.hash), len(words.known) - 1)
+        hit = words.known[at] == w.hash
+        ids[hit], share[hit] = words.number[at[hit]], words.logp[at[hit]]
     bounds = w.first + np.arange(docs + 1)
-    out = np.full(len(ids) + docs, END, kind)
-    out[np.arange(len(ids)) + np.repeat(np.arange(docs), w.counts)] = ids
-    return out, bounds
+    place = np.arange(len(ids)) + np.repeat(np.arange(docs), w.counts)
+    out, band = np.full(len(ids) + docs, END, np.uint16), np.zeros(len(ids) + docs, np.float32)
+    out[place], band[place] = ids, share
+    return out, band, bounds
 
 
 def spelled(w: tg.Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +214,7 @@ def spelling(counts: np.ndarray) -> np.ndarray:
     return np.log(p).astype(np.float32).ravel()
 
 
-def numbers(texts: pa.Array, vocab: np.ndarray, unknown: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def numbers(texts: pa.Array, words: Table, unknown: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """number() for many texts, whose words are taken in smaller slices, and what
     unknown gives for the spellings of the unknown words, in order."""
     if isinstance(texts, pa.ChunkedArray):
@@ -191,15 +223,15 @@ def numbers(texts: pa.Array, vocab: np.ndarray, unknown: Callable[[np.ndarray, n
     found, more = [], [np.zeros(0, np.float32)]
     for part in tg.slices(batch, "text"):
         w = tg.words(part.column(0))
-        ids, bounds = number(w, vocab)
-        found.append((ids, np.diff(bounds)))
+        ids, band, bounds = number(w, words)
+        found.append((ids, band, np.diff(bounds)))
         chosen = np.flatnonzero(np.delete(ids, bounds[1:] - 1) == UNKNOWN)
         if len(chosen):
             more.append(unknown(*spelled(w, chosen)))
     if not found:
-        return np.zeros(0, np.uint16), np.zeros(1, np.int64), more[0]
-    sizes = np.concatenate([b for _, b in found])
-    return np.concatenate([i for i, _ in found]), np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(more)
+        return np.zeros(0, np.uint16), np.zeros(0, np.float32), np.zeros(1, np.int64), more[0]
+    ids, band, sizes = (np.concatenate(c) for c in zip(*found))
+    return ids, band, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(more)
 
 
 def lay(ids: np.ndarray, bounds: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +277,10 @@ class Network:
 
     def read(self, ids: np.ndarray, bounds: np.ndarray, learn: bool) -> np.ndarray:
         """Log-probability of every token; learns from them on the way."""
-        token, lens = lay(ids, bounds, self.shape.lanes)
+        lanes = self.shape.lanes
+        if learn:
+            lanes = max(8, min(lanes, len(ids) // (self.shape.window * STEPS)))
+        token, lens = lay(ids, bounds, lanes)
         logp = np.zeros(len(ids), np.float32)
         begin = np.concatenate([[0], np.cumsum(lens)[:-1]])
         state = np.zeros((len(lens), self.shape.hidden), np.float32)
@@ -323,7 +358,9 @@ class Network:
 
     def _softmax(self, h, y, learn):
         net, slots = self.net, self.shape.slots
-        kind, slot = (y // slots).astype(np.int16), y % slots
+        # Bands, numbered behind the words, are classes behind theirs.
+        kind = np.where(y < self.shape.words, y // slots, y.astype(np.int32) - self.shape.words + self.shape.classes).astype(np.int16)
+        slot = y % slots
         # Weights are kept within LIMIT, so that no exponential overflows.
         score = h @ net["c"]
         score += net["cb"]
@@ -394,7 +431,7 @@ def _add_sparse(counts: np.ndarray, data) -> None:
     counts[some] += n
 
 
-def train(docs: DataFrame, vocab: np.ndarray, shape: Shape, rounds: int = 2, rate: float = 0.01, seed: int = 5) -> Net:
+def train(docs: DataFrame, words: Table, shape: Shape, rounds: int = 2, rate: float = 0.01, seed: int = 5) -> Net:
     """The network after one pass over all documents, in rounds, and with it, as
     spell, the spelling of unknown words. docs has the column text. Averages and
     counts are summed on the cluster, block by block."""
@@ -403,11 +440,11 @@ def train(docs: DataFrame, vocab: np.ndarray, shape: Shape, rounds: int = 2, rat
     like = {k: np.empty_like(v) for k, v in net.items()}
     letters = np.zeros(CELLS, np.int64)
     for turn in range(rounds):
-        held = sc.broadcast((_packed(net), vocab))
+        held = sc.broadcast((_packed(net), words))
 
         def learn(batches: Iterator[pa.RecordBatch], turn=turn, held=held) -> Iterator[pa.RecordBatch]:
             own = Network(_unpacked(held.value[0], like), shape, rate)
-            seen, k = 0, 0
+            seen, rows = 0, 0
             cells = np.zeros(CELLS, np.int64)
 
             def count(cell: np.ndarray, _: np.ndarray) -> np.ndarray:
@@ -415,12 +452,13 @@ def train(docs: DataFrame, vocab: np.ndarray, shape: Shape, rounds: int = 2, rat
                 return np.zeros(0, np.float32)
 
             for batch in batches:
-                for part in tg.slices(batch, "text", GROUP // rounds):
-                    if k % rounds == turn:
-                        ids, bounds, _ = numbers(part.column("text"), held.value[1], count)
-                        own.read(ids, bounds, learn=True)
-                        seen += len(ids)
-                    k += 1
+                for part in tg.slices(batch, "text", GROUP):
+                    # Every round finds some of each task's documents.
+                    place = np.flatnonzero((rows + np.arange(part.num_rows)) % rounds == turn)
+                    rows += part.num_rows
+                    ids, _, bounds, _ = numbers(part.column("text").take(pa.array(place)), held.value[1], count)
+                    own.read(ids, bounds, learn=True)
+                    seen += len(ids)
             if seen:
                 flat = np.frombuffer(_packed(own.net), "<f4").astype(np.float64) * seen
                 blocks = np.array_split(flat, 16)
@@ -430,16 +468,18 @@ def train(docs: DataFrame, vocab: np.ndarray, shape: Shape, rounds: int = 2, rat
                 )
                 yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([_sparse(cells)], pa.binary()), pa.array([seen], pa.int64())], names=["block", "sums", "tokens"])
 
-        def add(key: tuple, rows: pa.Table) -> pa.Table:
-            if key[0].as_py() < 0:
-                cells = np.zeros(CELLS, np.int64)
-                for x in rows.column("sums").combine_chunks():
-                    _add_sparse(cells, x.as_buffer())
-                return pa.table({"block": pa.array([-1], pa.int32()), "mean": pa.array([_sparse(cells)], pa.binary())})
-            total = np.sum([np.frombuffer(x.as_buffer(), "<f8") for x in rows.column("sums").combine_chunks()], axis=0)
-            seen = sum(rows.column("tokens").to_pylist())
-            mean = (total / seen).astype("<f4").tobytes()
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "mean": pa.array([mean], pa.binary())})
+        def add(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # The batches are summed as they come.
+            cells, total, seen = np.zeros(CELLS if key[0].as_py() < 0 else 0, np.int64), 0.0, 0
+            for batch in rows:
+                seen += sum(batch.column("tokens").to_pylist())
+                for x in batch.column("sums"):
+                    if len(cells):
+                        _add_sparse(cells, x.as_buffer())
+                    else:
+                        total = total + np.frombuffer(x.as_buffer(), "<f8")
+            mean = _sparse(cells) if len(cells) else (total / seen).astype("<f4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([mean], pa.binary())], names=["block", "mean"])
 
         rows = docs.mapInArrow(tidy(learn), "block int, sums binary, tokens long").groupBy("block").applyInArrow(add, "block int, mean binary").collect()
         held.unpersist()
@@ -450,11 +490,11 @@ def train(docs: DataFrame, vocab: np.ndarray, shape: Shape, rounds: int = 2, rat
     return net | {"spell": spelling(letters)}
 
 
-def score(docs: DataFrame, net: Net, vocab: np.ndarray, shape: Shape, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, net: Net, words: Table, shape: Shape, text: str = "text") -> DataFrame:
     """docs with lm_tokens (words and the end mark), lm_log_likelihood (natural
     logarithm, of the complete document, unknown words with their spelling) and
     lm_perplexity."""
-    held = docs.sparkSession.sparkContext.broadcast((_packed(net), vocab))
+    held = docs.sparkSession.sparkContext.broadcast((_packed(net), words))
     like = {k: np.empty_like(v) for k, v in net.items()}
 
     def make():
@@ -466,8 +506,8 @@ def score(docs: DataFrame, net: Net, vocab: np.ndarray, shape: Shape, text: str
             return np.add.reduceat(spell[cell], begin)
 
         def run(texts: pa.Array, _: list[pa.Array]) -> list[pa.Array]:
-            ids, bounds, letters = numbers(texts, held.value[1], cost)
-            logp = own.read(ids, bounds, learn=False).astype(np.float64)
+            ids, band, bounds, letters = numbers(texts, held.value[1], cost)
+            logp = own.read(ids, bounds, learn=False).astype(np.float64) + band
             logp[ids == UNKNOWN] += letters
             sums = np.add.reduceat(logp, bounds[:-1]) if len(logp) else np.zeros(0)
             size = np.diff(bounds)
@@ -481,9 +521,7 @@ def score(docs: DataFrame, net: Net, vocab: np.ndarray, shape: Shape, text: str
 
 
 def fit_and_score(docs: DataFrame, text: str = "text", shape: Shape = Shape(), **options) -> DataFrame:
-    """docs with the scores of a network trained on all of them. shape has the
-    least number of words; it grows with the vocabulary."""
+    """docs with the scores of a network trained on all of them."""
     plain = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    vocab = vocabulary(plain, shape.words - SPECIAL, GROWTH)
-    shape = shape.holding(len(vocab) + SPECIAL)
-    return score(docs, train(plain, vocab, shape, **options), vocab, shape, text)
+    words = table(*vocabulary(plain, shape.words - SPECIAL, GROWTH), shape)
+    return score(docs, train(plain, words, shape, **options), words, shape, text)

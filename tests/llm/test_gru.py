@@ -5,7 +5,7 @@ from millrace.llm import gru
 from millrace.llm import textgrid as tg
 from tests.llm.conftest import prose
 
-SMALL = gru.Shape(classes=4, slots=4, hidden=5, lanes=3, window=4)
+SMALL = gru.Shape(classes=4, slots=4, bands=3, hidden=5, lanes=3, window=4)
 
 
 def brute(net, ids, shape):
@@ -18,10 +18,13 @@ def brute(net, ids, shape):
         r = 1 / (1 + np.exp(-(x[n : 2 * n] + g[n : 2 * n])))
         new = np.tanh(x[2 * n :] + r * g[2 * n :])
         h = (1 - z) * new + z * h
-        kind, slot = divmod(int(y), shape.slots)
         a = h @ net["c"] + net["cb"]
-        b = h @ net["w"][kind] + net["wb"][kind]
-        out.append(a[kind] - np.log(np.exp(a).sum()) + b[slot] - np.log(np.exp(b).sum()))
+        if y >= shape.words:
+            out.append(a[shape.classes + int(y) - shape.words] - np.log(np.exp(a).sum()))
+        else:
+            kind, slot = divmod(int(y), shape.slots)
+            b = h @ net["w"][kind] + net["wb"][kind]
+            out.append(a[kind] - np.log(np.exp(a).sum()) + b[slot] - np.log(np.exp(b).sum()))
         before = y
     return np.array(out)
 
@@ -30,7 +33,7 @@ def sample(seed, docs=7):
     rng = np.random.default_rng(seed)
     sizes = rng.integers(1, 15, docs)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    ids = rng.integers(1, SMALL.words, bounds[-1]).astype(np.int16)
+    ids = rng.integers(1, SMALL.inputs, bounds[-1]).astype(np.int16)
     ids[bounds[1:] - 1] = gru.END
     return ids, bounds
 
@@ -71,7 +74,7 @@ def test_gradients_equal_finite_differences(monkeypatch):
 def test_probabilities_sum_to_one():
     net = gru.fresh(SMALL, 5)
     total = 0.0
-    for y in range(SMALL.words):
+    for y in range(SMALL.inputs):
         total += np.exp(gru.Network(net, SMALL).read(np.array([3, y], np.int16), np.array([0, 2]), learn=False)[1])
     assert abs(total - 1) < 1e-4
 
@@ -90,10 +93,11 @@ def test_held_out_perplexity_beats_the_unigram(spark):
     rows = [(i, walk(60)) for i in range(500)]
     docs = spark.createDataFrame(rows[:400], "doc_id long, text string").repartition(2)
     shape = gru.Shape(lanes=16, window=16)
-    vocab = gru.vocabulary(docs.select("text"), shape.words - gru.SPECIAL)
+    vocab, counts = gru.vocabulary(docs.select("text"), shape.words - gru.SPECIAL)
     assert len(vocab) == len({w for _, t in rows[:400] for w in t.split()})
-    net = gru.train(docs.select("text"), vocab, shape)
-    got = gru.score(spark.createDataFrame(rows[400:], "doc_id long, text string"), net, vocab, shape).collect()
+    words = gru.table(vocab, counts, shape)
+    net = gru.train(docs.select("text"), words, shape)
+    got = gru.score(spark.createDataFrame(rows[400:], "doc_id long, text string"), net, words, shape).collect()
     assert sum(r["lm_tokens"] for r in got) == 100 * 61
     mean = sum(r["lm_log_likelihood"] for r in got) / (100 * 61)
     assert np.exp(-mean) < 12
@@ -114,7 +118,8 @@ def test_lanes_hold_every_token_once():
     token, lens = gru.lay(ids, bounds, 5)
     assert sorted(token.tolist()) == list(range(len(ids))) and lens.sum() == len(ids)
     assert (np.diff(lens) <= 0).all()
-    numbers, starts = gru.number(tg.words(pa.array(["a b", "", None, prose(np.random.default_rng(1), "en", 9)])), np.zeros(0, np.uint64))
+    none = gru.table(np.zeros(0, np.uint64), np.zeros(0, np.int64), SMALL)
+    numbers, _, starts = gru.number(tg.words(pa.array(["a b", "", None, prose(np.random.default_rng(1), "en", 9)])), none)
     assert np.diff(starts).tolist() == [3, 1, 1, 10] and (numbers[starts[1:] - 1] == gru.END).all()
 
 
@@ -123,11 +128,32 @@ def test_vocabulary_grows_with_the_corpus(spark):
 
     def words(most):
         text = spark.createDataFrame([(" ".join(f"w{i}" for i in part),) for part in np.array_split(rng.permutation(most), 50)], "text string")
-        return len(gru.vocabulary(text, 100, gru.GROWTH))
+        return len(gru.vocabulary(text, 100, 4)[0])
 
     assert words(400) == 100 and words(10_000) == 400 and words(40_000) == 800
-    assert gru.Shape().holding(510) == gru.Shape()
-    assert all(n <= gru.Shape().holding(n).words < n + 200 for n in (513, 1000, 9001))
+
+
+def test_bands_are_distributions_and_every_word_has_one_number():
+    rng = np.random.default_rng(3)
+    vocab, counts = rng.permutation(500).astype(np.uint64), np.sort(rng.integers(1, 900, 500))[::-1]
+    words = gru.table(vocab, counts, SMALL)
+    own = SMALL.words - gru.SPECIAL
+    by_hash = dict(zip(words.known.tolist(), zip(words.number.tolist(), words.logp.tolist())))
+    assert [by_hash[int(h)] for h in vocab[:own]] == [(i + gru.SPECIAL, 0.0) for i in range(own)]
+    for band in range(SMALL.bands):
+        inside = [by_hash[int(h)] for h in vocab[own:] if by_hash[int(h)][0] == SMALL.words + band]
+        assert abs(sum(np.exp(p) for _, p in inside) - 1) < 1e-4
+
+
+def test_partitions_hardly_matter(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, prose(rng, "en", 300)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cost = []
+    for parts in (3, 30):
+        got = gru.fit_and_score(docs.repartition(parts)).agg({"lm_log_likelihood": "sum", "lm_tokens": "sum"}).first()
+        cost.append(np.exp(-got["sum(lm_log_likelihood)"] / got["sum(lm_tokens)"]))
+    assert abs(np.log(cost[0] / cost[1])) < 0.05, cost
 
 
 def test_spellings_are_a_distribution_and_equal_plain_loops():
@@ -154,7 +180,7 @@ def test_nonsense_costs_more_than_rare_words_like_the_corpus(spark):
     tests = [(0, " ".join(word() for _ in range(20))), (1, " ".join("xqzjwk" for _ in range(20)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     shape = gru.Shape(classes=4, slots=4, lanes=8)
-    vocab = gru.vocabulary(docs.select("text"), shape.words - gru.SPECIAL)
-    got = gru.score(spark.createDataFrame(tests, "doc_id long, text string"), gru.train(docs.select("text"), vocab, shape), vocab, shape)
+    words = gru.table(*gru.vocabulary(docs.select("text"), shape.words - gru.SPECIAL), shape)
+    got = gru.score(spark.createDataFrame(tests, "doc_id long, text string"), gru.train(docs.select("text"), words, shape), words, shape)
     cost = {r["doc_id"]: r["lm_log_likelihood"] for r in got.collect()}
     assert cost[0] - cost[1] > 20 * 5
