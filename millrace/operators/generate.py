@@ -27,12 +27,7 @@ Factory = Callable[[], Provider]
 def answered(df: DataFrame, provider: Factory, output: str, kind: str = "string", when: Column | None = None, **inputs: Column) -> DataFrame:
     """df with output and {output}_error. Rows where when isn't true are not
     asked and get nulls."""
-    if when is None:
-        got = df.withColumn("_got", ask(provider, kind, **inputs))
-    else:
-        test = F.coalesce(when, F.lit(False))
-        todo = df.where(test).withColumn("_got", ask(provider, kind, **inputs))
-        got = todo.unionByName(df.where(~test).withColumn("_got", F.lit(None).cast(f"struct<answer:{kind},error:string>")))
+    got = df.withColumn("_got", ask(provider, kind, when, **inputs))
     return got.withColumns({output: F.col("_got.answer"), f"{output}_error": F.col("_got.error")}).drop("_got")
 
 
@@ -59,6 +54,14 @@ def _one_kind(df: DataFrame, image: str | None, video: str | None) -> DataFrame:
     return df.join(F.broadcast(checked)).where(F.col("_ok").isNull()).drop("_ok")
 
 
+@operator("TextEmbedder", "generate")
+def embed(df: DataFrame, provider: Factory, text: str = "text", output: str = "vector") -> DataFrame:
+    """df with a vector for each text, null where there is no text; what the
+    operators on vectors take."""
+    c.require_columns(df, text)
+    return answered(df, provider, output, "array<double>", ~c.blank(F.coalesce(c.col(text), F.lit(""))), prompt=c.col(text))
+
+
 @operator("PromptedQAGenerator", "generate")
 def prompted_qa(df: DataFrame, provider: Factory, prompt: str = "prompt", output: str = "answer", system_prompt: str = "") -> DataFrame:
     c.require_columns(df, prompt)

@@ -55,8 +55,9 @@ def _parts(image: Column) -> list[Column]:
 
 
 def statistics(image: Column | str) -> Column:
-    """struct(sharpness, mean, std, black, white, luma) of an image struct."""
-    return F.pandas_udf(_stats, STATS)(*_parts(c.col(image)))
+    """struct(sharpness, mean, std, black, white, luma) of an image struct. It counts
+    as nondeterministic, so that a filter on it doesn't compute it twice."""
+    return F.pandas_udf(_stats, STATS).asNondeterministic()(*_parts(c.col(image)))
 
 
 @operator("ImageAestheticFilter", "filter")
