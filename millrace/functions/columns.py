@@ -19,6 +19,13 @@ def col(x: Column | str) -> Column:
     return F.col(f"`{x}`") if isinstance(x, str) else x
 
 
+def once(x: Column) -> Column:
+    """A column that is computed where it is projected, and only there: the
+    optimiser copies it neither into filters above nor into its users. For columns
+    that cost much and are used several times. rand() only bars the way."""
+    return F.when(F.rand(0) + 1 > 0, x)
+
+
 def require_columns(df: DataFrame, *names: str | None) -> None:
     """Raises before any job runs if a column is missing."""
     missing = [n for n in names if n is not None and n not in df.columns]
@@ -105,9 +112,13 @@ def first_item(x: Column | str) -> Column:
 
 def seconds(timecode: Column | str) -> Column:
     """Seconds of HH:MM:SS.mmm; null if it isn't one."""
-    p = F.split(col(timecode), ":")
-    part = [F.try_element_at(p, F.lit(k)).try_cast("double") for k in (1, 2, 3)]
-    return F.when(F.size(p) == 3, part[0] * 3600 + part[1] * 60 + part[2])
+
+    def value(p: Column) -> Column:
+        part = [F.try_element_at(p, F.lit(k)).try_cast("double") for k in (1, 2, 3)]
+        return F.when(F.size(p) == 3, part[0] * 3600 + part[1] * 60 + part[2])
+
+    # The lambda's variable holds the parts, so that they are split once.
+    return F.get(F.transform(F.array(F.split(col(timecode), ":")), value), F.lit(0))
 
 
 def timecode(sec: Column | str) -> Column:

@@ -162,7 +162,8 @@ def reasoning(x: Column | str) -> Column:
     option = F.arrays_zip(F.regexp_extract_all(t, F.lit(r"([A-D])\.\s*(.*)"), F.lit(1)).alias("k"), F.regexp_extract_all(t, F.lit(r"([A-D])\.\s*(.*)"), F.lit(2)).alias("v"))
     letters = F.array_distinct(F.regexp_extract_all(t, F.lit(r"([A-D])\.\s*(.*)"), F.lit(1)))
     options = F.map_from_entries(F.transform(letters, lambda a: F.struct(a.alias("k"), F.element_at(F.filter(option, lambda o: o["k"] == a), -1)["v"].alias("v"))))
-    blocks = F.slice(F.split(t, "##### From "), 2, 10_000)
+    parts = F.split(t, "##### From ")
+    blocks = F.slice(parts, F.lit(2), F.size(parts))
 
     def step(b: Column) -> Column:
         bracketed = F.regexp_extract(b, r"^\[(.*?)\]", 1)

@@ -145,7 +145,7 @@ def scene_filter(
         F.coalesce("_scenes", F.array().cast(f"array<{SCENE}>")).alias("scenes"),
     )
     # What is used more than once is a column of its own, and so computed once.
-    return df.withColumn("_scenes", scenes).withColumn(output, made).drop("_scenes")
+    return df.withColumn("_scenes", c.once(scenes)).withColumn(output, made).drop("_scenes")
 
 
 @operator("VideoClipFilter", "generate")
@@ -206,7 +206,7 @@ def clip_filter(
 
     made = F.col("_made")
     missing = F.coalesce(path == "", F.lit(True))
-    rows = df.withColumn("_made", F.filter(F.transform(c.col(scene)["scenes"], make), inside)).withColumn(
+    rows = df.withColumn("_made", c.once(F.filter(F.transform(c.col(scene)["scenes"], make), inside))).withColumn(
         output,
         F.struct(
             (~missing & made.isNotNull()).alias("success"),
@@ -247,7 +247,7 @@ def frame_filter(df: DataFrame, clips: str = "video_clip", output: str = "video_
     summary = F.struct(
         some.alias("success"), F.when(~some, "no_jobs").alias("error"), made.alias("clips"), F.coalesce(total, F.lit(0)).alias("total_saved"), F.greatest(F.size(made), F.lit(0)).alias("total_clips")
     )
-    return df.withColumn("_made", F.transform(c.col(clips)["clips"], plan)).withColumn(output, summary).drop("_made")
+    return df.withColumn("_made", c.once(F.transform(c.col(clips)["clips"], plan))).withColumn(output, summary).drop("_made")
 
 
 def _fields(df: DataFrame, clips: str) -> list[str]:
@@ -340,26 +340,48 @@ def _write_scores(df: DataFrame, clips: str, scores: DataFrame, key: str, fields
     return joined.withColumn(clips, _rebuilt(df, clips, F.transform(c.col(clips)["clips"], put))).drop("_scores")
 
 
+def _luminance() -> dict[str, Column]:
+    return {"luminance_mean": F.avg("luma"), "luminance_min": F.min("luma"), "luminance_max": F.max("luma")}
+
+
+def _aesthetic() -> dict[str, Column]:
+    return {"aesthetic_score": F.avg("aesthetic")}
+
+
+def _ocr(width: int, height: int) -> dict[str, Column]:
+    area = F.aggregate("boxes", F.lit(0.0), lambda s, b: s + F.abs((b[2] - b[0]) * (b[3] - b[1])))
+    return {"ocr_score": F.max(area / (width * height))}
+
+
+def _scored(df: DataFrame, frames: DataFrame, key: str, clips: str, scores: dict[str, Column]) -> DataFrame:
+    return _write_scores(df, clips, frames.groupBy(key, "id").agg(*[v.alias(k) for k, v in scores.items()]), key, list(scores))
+
+
 @operator("VideoLuminanceEvaluator", "eval")
 def luminance_eval(df: DataFrame, frames: DataFrame, key: str, clips: str = "video_clip") -> DataFrame:
     """df whose clips have the mean, least and greatest luma of their frames.
     frames: key, id (of the clip), luma; one row for each decoded frame."""
-    scores = frames.groupBy(key, "id").agg(F.avg("luma").alias("luminance_mean"), F.min("luma").alias("luminance_min"), F.max("luma").alias("luminance_max"))
-    return _write_scores(df, clips, scores, key, ["luminance_mean", "luminance_min", "luminance_max"])
+    return _scored(df, frames, key, clips, _luminance())
 
 
 @operator("VideoAestheticEvaluator", "eval")
 def aesthetic_eval(df: DataFrame, frames: DataFrame, key: str, clips: str = "video_clip") -> DataFrame:
     """df whose clips have the mean aesthetic of their frames (key, id, aesthetic)."""
-    return _write_scores(df, clips, frames.groupBy(key, "id").agg(F.avg("aesthetic").alias("aesthetic_score")), key, ["aesthetic_score"])
+    return _scored(df, frames, key, clips, _aesthetic())
 
 
 @operator("VideoOCREvaluator", "eval")
 def ocr_eval(df: DataFrame, frames: DataFrame, key: str, clips: str = "video_clip", width: int = 720, height: int = 1280) -> DataFrame:
     """df whose clips have the greatest share of a frame that text boxes cover.
     frames: key, id, boxes (arrays of x1, y1, x2, y2)."""
-    area = F.aggregate("boxes", F.lit(0.0), lambda s, b: s + F.abs((b[2] - b[0]) * (b[3] - b[1])))
-    return _write_scores(df, clips, frames.groupBy(key, "id").agg(F.max(area / (width * height)).alias("ocr_score")), key, ["ocr_score"])
+    return _scored(df, frames, key, clips, _ocr(width, height))
+
+
+@operator("VideoFrameEvaluator", "eval")
+def frame_eval(df: DataFrame, frames: DataFrame, key: str, clips: str = "video_clip", width: int = 720, height: int = 1280) -> DataFrame:
+    """The scores of luminance_eval, aesthetic_eval and ocr_eval at once, for
+    frames that have all their columns: one aggregation and one join."""
+    return _scored(df, frames, key, clips, _luminance() | _aesthetic() | _ocr(width, height))
 
 
 @operator("VideoClipGenerator", "expand")

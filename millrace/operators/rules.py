@@ -59,7 +59,7 @@ def broken_rules(text: str, words: str, lines: str, limits: Limits = Limits()) -
 
     length = share(F.length(F.array_join(w, "")), n)
     # Deleting ASCII punctuation can join or empty a line; case does not matter.
-    bare = F.transform(F.split(t, "\n"), lambda x: F.lower(F.translate(x, c.PUNCTUATION, "")))
+    bare = F.transform(F.split(F.translate(t, c.PUNCTUATION, ""), "\n"), F.lower)
     bare = F.filter(bare, lambda x: ~c.blank(x))
     rules = {
         "blank": c.blank(t),
@@ -86,7 +86,7 @@ def judge(df: DataFrame, text: Column, limits: Limits = Limits()) -> DataFrame:
     """df with failed_rule: the first rule, in order, that the text breaks; null
     if it breaks none. An empty or null text has no rules to break."""
     base = df.withColumn("_text", text)
-    base = base.withColumns({"_words": c.words("_text"), "_lines": c.lines("_text")})
+    base = base.withColumns({"_words": c.once(c.words("_text")), "_lines": c.once(c.lines("_text"))})
     verdict = None
     for name, broken in broken_rules("_text", "_words", "_lines", limits).items():
         verdict = F.when(broken, name) if verdict is None else verdict.when(broken, name)

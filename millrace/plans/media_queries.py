@@ -128,9 +128,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "x.id", (F.col("x.num_frames") % 200).cast("double").alias("luma"), (F.col("x.num_frames") % 7).cast("double").alias("aesthetic"),
         F.array(F.array(F.lit(0.0), F.lit(0.0), F.lit(720.0), (F.col("x.num_frames") % 1000).cast("double"))).alias("boxes"),
     )
-    frames = frames.union(frames.withColumn("luma", F.col("luma") + 10))
-    rows = clips.luminance_eval(rows, frames, "event_id")
-    return clips.ocr_eval(clips.aesthetic_eval(rows, frames, "event_id"), frames, "event_id")
+    frames = frames.withColumn("luma", F.explode(F.array("luma", F.col("luma") + 10)))
+    return clips.frame_eval(rows, frames, "event_id")
 
 
 @query(

@@ -44,3 +44,9 @@ def test_query_equals_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_without_sql_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, DATA).take(1)
+
+
+@pytest.mark.parametrize("name, most", [("video_clips", 15_000), ("video_score_mark", 40_000), ("rule_filter_text", 6_500), ("rule_verdicts", 6_500)])
+def test_plans_compute_their_parts_once(spark, name, most):
+    """Expressions that are copied into filters and users make plans that grow."""
+    assert len(catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()) < most
