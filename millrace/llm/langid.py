@@ -125,7 +125,7 @@ def profile(docs: DataFrame, text: str = "text", label: str = "lang", dims: int
             yield pa.RecordBatch.from_pydict({"lang": [name], "vector": [vector.tolist()]})
 
     rows = (
-        docs.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("lang"))
+        docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("string").alias("lang"))
         .where("lang is not null")
         .mapInArrow(tidy(count), "lang string, vector array<double>")
         .select("lang", F.posexplode("vector").alias("d", "v"))

@@ -58,3 +58,8 @@ def test_conflict_is_rejected(spark):
     rows.append((99, prose(rng, "de", 60), "en"))
     got = {r["doc_id"]: r["lang_id_keep"] for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not got[99] and all(v for k, v in got.items() if k != 99)
+
+
+def test_dotted_names(spark):
+    docs = spark.createDataFrame([(1, "some words of a text", "en")], "doc_id long, `a.text` string, `a.lang` string")
+    assert langid.identify(docs, "a.text", "a.lang").collect()[0]["lang_id_lang"] == "en"
