@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.session import table
+from millrace.session import shared_dir, table
 
 from . import chat, digest, gru, jaccard, langid, licenses, linecrf, packing, passages, pieces
 
@@ -28,9 +28,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_document_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = digest.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    shared_dir(spark)
+    docs = digest.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text").checkpoint()
     items = table(spark, sf_dir, "benchmark").selectExpr("item_id as reference_id", "text")
-    return digest.nearest(docs, digest.fingerprint(items).drop("text"))
+    return digest.nearest(digest.similar(docs), digest.fingerprint(items).drop("text"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

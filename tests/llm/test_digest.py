@@ -65,7 +65,54 @@ def test_nearest_is_exact_over_all_references(spark, monkeypatch):
             want = (i, d)
         assert got[r["doc_id"]] == want
     monkeypatch.setattr(digest, "BROADCAST_REFERENCES", 2)
-    assert {r["doc_id"]: (r["nearest_id"], r["difference"]) for r in digest.nearest(docs, refs).collect()} == got
+    monkeypatch.setattr(digest, "BLOCK", 4)
+    blocked = digest.nearest(docs, refs)
+    assert {r["doc_id"]: (r["nearest_id"], r["difference"]) for r in blocked.collect()} == got
+    monkeypatch.undo()
+    assert blocked.columns == digest.nearest(docs, refs).columns == [*docs.columns, "nearest_id", "difference"]
+
+
+def test_similar_documents_and_their_recall(spark):
+    rng = np.random.default_rng(22)
+    rows = []
+    for _ in range(120):
+        base = prose(rng, "en", int(rng.integers(150, 500))).split()
+        for _ in range(int(rng.integers(1, 4))):
+            words = list(base)
+            for k in rng.integers(0, len(words), int(rng.integers(0, 4))):
+                words[k] = f"w{rng.integers(100)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(5000, rows[20][1]), (5001, rows[40][1]), (None, rows[60][1]), (5020, None), (5021, "short")]
+    docs = digest.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).drop("text").repartition(4)
+    held = {}
+    for r in docs.collect():
+        held.setdefault(r["digest"], []).append(r["doc_id"])
+    got = digest.similar(docs, bound=30).collect()
+    assert len(got) == len(rows)
+    right = wanted = 0
+    for r in got:
+        if r["digest"] is None:
+            assert r["same_id"] is None and r["similar_id"] is None
+            continue
+        same = held[r["digest"]]
+        assert (r["same_id"], r["same_count"]) == (min(i for i in same if i is not None), len(same))
+        if not any(i is not None and i % 20 == 0 for i in same):
+            assert r["similar_id"] is None
+            continue
+        own = bytes.fromhex(r["digest"])
+        d, other = min((brute_difference(own, bytes.fromhex(o)), o) for o in held if o and o != r["digest"])
+        if d <= 30:
+            wanted += 1
+            right += (r["similar_id"], r["similar_difference"]) == (min(i for i in held[other] if i is not None), d)
+        else:
+            assert r["similar_id"] is None
+    assert wanted >= 8 and right >= 0.9 * wanted
+
+
+def test_pairs_of_rows_differ_as_in_the_table():
+    rows = np.random.default_rng(5).integers(0, 256, (40, 35)).astype(np.uint8)
+    np.testing.assert_array_equal(digest.paired(rows[:20], rows[20:]), np.diag(digest.differences(rows[:20], rows[20:])))
+    assert [len(q) for q, _, _ in digest._slices(np.arange(3), np.array([2, 9, 1]), np.zeros(3, int), 4)] == [2, 1, 1, 1]
 
 
 def test_odd_rows(spark, odd, empty):
