@@ -45,7 +45,7 @@ MAX_DIFFERENCE = 12 * 128 + 2 * 12 * 8 + 1 + 6 * BUCKETS
 #: References that are sent to every task (43 bytes each).
 BROADCAST_REFERENCES = 1_000_000
 BLOCK = 100_000
-BITS, TABLES = 32, 24
+BITS, TABLES = 40, 24
 #: A bucket's rows are spread over so many tasks, to each of which its queries go.
 SALTS = 4
 ENTRY = {"key": "<u8", "query": "u1", "digest": "V35"}
@@ -232,7 +232,7 @@ def _nearest_in_blocks(docs: DataFrame, refs: DataFrame, digest: str) -> DataFra
     return plain.join(least, plain[f"`{digest}`"] == least["asked"], "left").drop("asked").select(*[F.col(f"`{c}`") for c in names], "nearest_id", "difference")
 
 
-def similar(docs: DataFrame, doc_id: str = "doc_id", digest: str = "digest", queries: str = "pmod(doc_id, 20) = 0", bound: int = 30, bits: int = BITS, tables: int = TABLES) -> DataFrame:
+def similar(docs: DataFrame, doc_id: str = "doc_id", digest: str = "digest", queries: str = "pmod(doc_id, 20) = 0", bound: int = 20, bits: int = BITS, tables: int = TABLES) -> DataFrame:
     """docs (an integer id and a digest) with same_id and same_count, the least id
     and the number of the documents with the same digest, and for the documents that
     queries selects (an expression over doc_id), and those with the same digest,
