@@ -265,10 +265,10 @@ def caption_to_qa(df: DataFrame, provider: Factory, caption: str = "caption", te
 
 
 @operator("VideoCOTQAGenerator", "generate")
-def video_cot(df: DataFrame, provider: Factory, video: str | None = "video", image: str | None = None, output: str = "answer", process: str = "process", **columns: str) -> DataFrame:
+def video_cot(df: DataFrame, provider: Factory, video: str | None = "video", image: str | None = None, output: str = "answer", process: str = "process", **columns) -> DataFrame:
     """df with the thinking (process), and the answer with its tag, of the model's
     text; the full text stays in full_response."""
-    made = prompts.cot_prompt(df, output="_prompt", **columns)
+    made = prompts.cot_prompt(df, **columns, output="_prompt")
     got = prompted_vqa(made, provider, None, "_prompt", image, video, "full_response").drop("_prompt")
     return got.withColumns({process: parsing.thinking("full_response"), output: F.concat(F.lit("<answer>"), parsing.answer("full_response"), F.lit("</answer>"))})
 
