@@ -141,3 +141,14 @@ def test_tree_chains():
 def test_broken_trees_have_no_chains(spark):
     df = spark.createDataFrame([("{",), (None,), ("3",)], "tree string")
     assert [r["reasoning_chains"] for r in trees.tree_chains(df).collect()] == [[], [], []]
+
+
+@pytest.mark.parametrize("unit", [*chinese.QUANTIFIERS, "千克", "毫克", "微克", "千米", "厘米", "毫米", "微米", "分米"])
+def test_counts_before_every_measure_word_are_cardinals(unit):
+    assert chinese.numbers(f"1500{unit}") == f"一千五百{unit}"
+    assert chinese.numbers(f"1500多{unit}") == f"一千五百多{unit}"
+
+
+def test_codes_are_read_digit_by_digit_and_words_keep_their_syllable():
+    assert chinese.numbers("1500号") == "一五零零号"
+    assert chinese.without_erhua("佳儿佳妇去哪儿找苏乞儿和儿童") == "佳儿佳妇去哪找苏乞儿和儿童"
