@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 
 from . import frames
 from . import textgrid as tg
+from .license_texts import TEMPLATES
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
@@ -42,37 +43,6 @@ _WORD[128:] = True
 
 COMMON = frozenset("a all an and any are as at be by for from in is it may not of on or that the this to was with work you".split())
 
-TEMPLATES = {
-    "mit-notice": "Released under the MIT License",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0",
-    "all-rights-reserved": "All rights reserved",
-    "mit": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
-        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
-        "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
-        "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    ),
-    "isc": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted, provided that the above copyright notice and this permission notice appear in all copies."
-    ),
-    "bsd-2-clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
-        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
-        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
-        "distribution."
-    ),
-    "apache-2.0-header": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
-        "the License. You may obtain a copy of the License at"
-    ),
-}
-
-
 def align(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """Matched positions of two sequences, by patience."""
     out = []

@@ -67,3 +67,45 @@ def test_long_insertions_are_aligned_as_in_the_full_text():
             assert [f["coverage"] for f in both] == [1.0] * 3
             mixed = scanner.scan(pa.array([f"{plain} q {' '.join(text)}"]))[0]
             assert len(mixed) == 2 and all(f["coverage"] >= 0.8 for f in mixed)
+
+
+def common_length(a, b):
+    """The longest common subsequence, by the plain table."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.permutations(range(12)), st.permutations(range(16)), st.integers(0, 12), st.integers(0, 16))
+def test_alignment_of_unique_words_is_the_longest_possible(a, b, m, n):
+    assert len(licenses.align(a[:m], b[:n])) == common_length(a[:m], b[:n])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=14), st.lists(st.integers(0, 5), max_size=14))
+def test_alignment_never_beats_the_longest_and_keeps_what_only_one_side_adds_to(a, b):
+    assert len(licenses.align(a, b)) <= common_length(a, b)
+    longer = [x for k in b for x in (k, 100 + k)]
+    assert len(licenses.align(longer, b)) >= len([k for k in set(b) if b.count(k) == 1])
+
+
+def test_alike_licences_are_told_apart_by_coverage():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8, licenses.COMMON)
+    for name in ("mit", "bsd-3-clause", "isc", "apache-2.0-header", "gpl-3.0-header", "lgpl-3.0-header"):
+        found = scanner.scan(pa.array([f"Copyright 2020 A. Author\n\n{licenses.TEMPLATES[name]}\n\nint main() {{ return 0; }}"]))[0]
+        full = {f["license"] for f in found if f["coverage"] == 1.0}
+        assert name in full and len(licenses.TEMPLATES) >= 25
+        half = scanner.scan(pa.array([licenses.TEMPLATES[name][len(licenses.TEMPLATES[name]) // 2 :]]))[0]
+        assert all(f["license"] != name for f in half)
+
+
+def test_ties_go_to_the_shortest_then_the_first_and_clashing_names_stay(spark):
+    scanner = licenses.Scanner({"t": "alpha beta gamma"}, 1.0, frozenset())
+    found = scanner.scan(pa.array(["alpha x beta gamma q alpha beta gamma q alpha beta gamma"]))[0]
+    assert len(found) == 3
+    docs = spark.createDataFrame([(1, "All rights reserved", 4, "x")], "doc_id long, text string, license int, licenses string")
+    got = licenses.scan(docs)
+    assert got.columns == ["doc_id", "text", "license", "licenses"] and got.collect()[0]["licenses"][0]["license"] == "all-rights-reserved"
