@@ -52,7 +52,7 @@ LIMIT = 4.0
 COUNT = {"key": "<u8", "n": "<i8"}
 #: Words of the vocabulary for each square root of a distinct word, and the most
 #: that are sent to every task (20 bytes each). Words beyond it are spelled.
-GROWTH = 128
+GROWTH = 512
 MOST_WORDS = 1 << 22
 #: Steps that a task's share of a round should make, if its lanes can be cut for it.
 STEPS = 60
@@ -138,8 +138,9 @@ def vocabulary(docs: DataFrame, least: int, growth: float = 0) -> tuple[np.ndarr
         key, at = np.unique(c["key"], return_inverse=True)
         n = np.bincount(at, c["n"]).astype(np.int64) if len(key) else np.zeros(0, np.int64)
         # Hashes spread words evenly over partitions: words that can't be among
-        # the most frequent of all, by a wide margin, stay here.
-        best = np.lexsort((key, -n))[: 2 * wanted(2 * len(key) * parts) // parts + 200]
+        # the most frequent of all, by ten standard deviations, stay here.
+        share = wanted(int(1.1 * len(key) * parts) + 1000 * parts) / parts
+        best = np.lexsort((key, -n))[: int(share + 10 * math.sqrt(share)) + 100]
         # The number of words comes first, with a count of -1.
         word, n = np.append(len(key), key[best].view(np.int64)), np.append(-1, n[best])
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
