@@ -17,7 +17,7 @@ from . import textgrid as tg
 from .memory import tidy
 
 #: Bytes that a task holds before it sends them on.
-FLUSH = 24 << 20
+FLUSH = 12 << 20
 Columns = dict[str, np.ndarray]
 
 

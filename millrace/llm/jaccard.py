@@ -48,7 +48,7 @@ U = np.uint64
 BROADCAST_NODES = 1_000_000
 DENSE_FROM = 48
 #: Bytes of segments that a task counts at once.
-HELD = 24 << 20
+HELD = 8 << 20
 PAIRS = "doc_a long, doc_b long, overlap int, grams_a int, grams_b int, jaccard double"
 PARTIAL = "root long, low long, high long, fragment int, held int, node binary, grams binary, copies binary, doc binary, x binary, y binary, n binary"
 HEADS = {"node": "<u8", "grams": "<u4"}

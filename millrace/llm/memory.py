@@ -17,19 +17,22 @@ def release() -> None:
         pass
 
 
-def few_arenas(most: int = 2) -> None:
-    """Lets threads of native libraries share that many of the C library's arenas,
-    each of which keeps freed memory for itself."""
+def frugal() -> None:
+    """Makes the C library give memory back early: threads of native libraries share
+    two arenas, and large arrays are returned as soon as they are freed."""
     try:
-        ctypes.CDLL("libc.so.6").mallopt(-8, most)
+        libc = ctypes.CDLL("libc.so.6")
+        for option, value in ((-8, 2), (-3, 4 << 20), (-1, 8 << 20)):  # arenas, mmap and trim thresholds
+            libc.mallopt(option, value)
     except (OSError, AttributeError):  # another C library
         pass
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator]) -> Callable[[Iterator[pa.RecordBatch]], Iterator]:
-    """run, with its free memory given back when a task ends."""
+    """run, with its free memory given back early, and all of it when a task ends."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator:
+        frugal()
         try:
             yield from run(batches)
         finally:
