@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import audio, clips, images, marks, similar
+from millrace.operators import audio, clips, images, marks, scoring, similar
 from millrace.plans import catalog
 from millrace.sources import media
 
@@ -256,3 +256,18 @@ def test_diversity_queries_compare_all_sources(spark, tmp_path):
     assert not {30, 31, 32, 33} & set(by_text) and len(by_text) > 20
     for name, want in (("text_diversity", by_text), ("diversity", by_both)):
         assert sorted(r["doc_id"] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
+def test_agreement_equals_all_pairs():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 60):
+        points, count = np.unique(np.stack([rng.integers(0, 9, n), rng.integers(0, 7, n)]).astype(float), axis=1, return_counts=True)
+        (x, y), w = points, count.astype(float)
+        want = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) * w[i] * w[j] for i in range(len(w)) for j in range(i))
+        assert scoring.agreement(x, y, w) == want
+
+
+def test_places_among_ties_go_by_rank():
+    s = np.array([[3.0, 1, 3, 3, 0], [1, 1, 1, 1, 1]])
+    i, j = similar._top(s, np.array([4, 0, 1, 2, 3]), 2)
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 2), (0, 3), (1, 1), (1, 2)]
