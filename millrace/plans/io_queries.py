@@ -68,11 +68,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-@query("select event_id, value between 14.56 and 69.15 as \"select\" from events where event_type <> 'purchase'")
+@query("select event_id, value between 14.56 and 69.15 as \"select\" from events")
 def stream_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row-wise operator on a stream, written to a table and read again."""
     at = _place(spark, "stream")
-    rows = marks.score_mark(_events(spark, sf_dir).where("event_type <> 'purchase'").select("event_id", "value"), "value", min_score=14.56, max_score=69.15)
+    rows = marks.score_mark(_events(spark, sf_dir).select("event_id", "value"), "value", min_score=14.56, max_score=69.15)
     live.to_table(rows.drop("value"), at, f"{at}-checkpoint").awaitTermination()
     return spark.read.schema("event_id long, `select` boolean").parquet(at)
 

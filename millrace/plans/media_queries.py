@@ -91,20 +91,19 @@ _SCENES = """with pairs as (select event_id, value, 0 as p, 0.0::double as s, va
 scenes as (select event_id, row_number() over (partition by event_id order by p, k) - 1 as idx, s + k * 15 as s, least(e, s + (k + 1) * 15) as e from
   (select *, unnest(range(0, greatest(1, ceil((e - s) / 15))::bigint)) as k from pairs where e > s)
   where least(e, s + (k + 1) * 15) - (s + k * 15) >= 2),
-known as (select * from scenes where event_id % 10 <> 0),
-clips as (select event_id, idx, s, e, 'v.' || event_id || '_' || idx as id, (floor(e * 25) - floor(s * 25))::int as num_frames,
-  floor(floor(s * 1000 + 0.5) / 1000)::double as timestamp_start from known)
+clips as (select event_id, idx, s, e, 'v.' || event_id || '_' || idx as id, (case when event_id % 10 <> 0 then floor(e * 25) - floor(s * 25) else 0 end)::int as num_frames,
+  floor(floor(s * 1000 + 0.5) / 1000)::double as timestamp_start from scenes)
 """
 
 
-@query(_SCENES + f"select event_id, idx, {_TC} as start from (select event_id, idx, floor(s * 1000 + 0.5)::bigint as ms from scenes where event_id % 10 <> 0)")
+@query(_SCENES + f"select event_id, idx, {_TC} as start from (select event_id, idx, floor(s * 1000 + 0.5)::bigint as ms from scenes)")
 def video_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = clips.scene_filter(_videos(spark, sf_dir).where("probe is not null"))
+    made = clips.scene_filter(_videos(spark, sf_dir))
     return made.select("event_id", F.posexplode("video_scene.scenes").alias("idx", "x")).select("event_id", F.col("idx").cast("long"), "x.start")
 
 
 def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clips.clip_filter(clips.scene_filter(_videos(spark, sf_dir).where("probe is not null")), frames_min=100)
+    return clips.clip_filter(clips.scene_filter(_videos(spark, sf_dir)), frames_min=100)
 
 
 @query(_SCENES + "select event_id, id, num_frames, timestamp_start, '1280x720' as resolution from clips where num_frames >= 100")

@@ -31,9 +31,10 @@ with base as (
            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\s\x{{1c}}-\x{{1f}}\x{{85}}\pZ]')) as p,
            list_filter(list_transform(string_split(text, chr(10)), lambda x: lower(regexp_replace(x, '[!-/:-@\[-`{{-~]', '', 'g'))),
                        lambda x: regexp_matches(x, '[^\s\x{{1c}}-\x{{1f}}\x{{85}}\pZ]')) as bare
-    from documents where text is not null and text <> ''
+    from (select doc_id, coalesce(text, '') as text from documents)
 ), verdicts as (
     select doc_id, len(w) as n_words, case
+        when t = '' then null
         when len(w) = 0 then 'blank'
         when suffix(t, ':') then 'colon_end'
         when len(p) > 0 and len(list_filter(p, lambda x: regexp_matches(x, '(\.\.\.|…){WS}*$'))) / len(p)::double >= 0.3 then 'ellipsis_lines'
@@ -62,13 +63,13 @@ def rule_filter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_BASE + "select doc_id, cast(n_words as int) as n_words, failed_rule from verdicts")
 def rule_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text <> ''")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rules.judge(docs, F.col("text")).select("doc_id", F.size(c.words("text")).alias("n_words"), "failed_rule")
 
 
 @query(_BASE + "select coalesce(failed_rule, 'none') as failed_rule, count(*) as n from verdicts group by 1")
 def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("text").where("text <> ''")
+    docs = table(spark, sf_dir, "documents").select("text")
     return rules.judge(docs, F.col("text")).groupBy(F.coalesce("failed_rule", F.lit("none")).alias("failed_rule")).agg(F.count("*").alias("n"))
 
 
