@@ -234,7 +234,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         .limit(max_train)
         .toArrow()
     )
-    active, visible, bounds = features(rows.column("text"))
+    # In slices, as the features' arrays are far larger than the texts.
+    batch = pa.RecordBatch.from_arrays([rows.column("text").combine_chunks()], names=["text"])
+    found = [features(part.column("text")) for part in tg.slices(batch, "text", 1 << 20)] or [features(batch.column("text"))]
+    active, visible = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f[2]) for f in found]))])
     bad = (1 - np.minimum(rows.column("quality").to_numpy(), 1)).astype(np.int64)
     chains = Chains(active, bounds)
     # Labels that never change within a document would teach that they never may.
