@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import graph, jaccard
@@ -143,3 +144,17 @@ def test_components(spark, limit):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def test_streamed_tables_hold_whole_groups():
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 40, 500))
+    other = np.arange(500)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(other[a:b])], names=["k", "v"]) for a, b in zip([0, 7, 7, 200, 201], [7, 7, 200, 201, 500])]
+    for size in (1, 300, 10**6):
+        found = list(jaccard._streamed(iter(batches), ["k"], size))
+        assert np.concatenate([t.column("v").to_numpy() for t in found]).tolist() == other.tolist()
+        groups = [set(t.column("k").to_pylist()) for t in found]
+        assert all(not a & b for a, b in zip(groups, groups[1:]))
+        assert len(found) == 1 if size == 10**6 else len(found) > 1
+    assert list(jaccard._streamed(iter([]), ["k"], 5)) == []
