@@ -121,3 +121,9 @@ def test_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "reference_id long, digest string")
     assert all(r["nearest_id"] is None for r in digest.nearest(digest.fingerprint(odd), none).collect())
     assert digest.fingerprint(empty).count() == 0
+
+
+def test_ties_go_to_the_first_reference():
+    rows, _ = digest.digests(pa.array([prose(np.random.default_rng(1), "en", 100)]))
+    best, score, some = digest._least([rows[0].tobytes().hex(), None], np.repeat(rows, 3, axis=0))
+    assert (best[0], score[0], some.tolist()) == (0, 0, [True, False])

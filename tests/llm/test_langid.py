@@ -63,3 +63,9 @@ def test_conflict_is_rejected(spark):
 def test_dotted_names(spark):
     docs = spark.createDataFrame([(1, "some words of a text", "en")], "doc_id long, `a.text` string, `a.lang` string")
     assert langid.identify(docs, "a.text", "a.lang").collect()[0]["lang_id_lang"] == "en"
+
+
+def test_ties_go_to_the_first_language():
+    proto = np.ones((2, 64))
+    cos, _, grams = langid.verdicts(pa.array(["the words of a text"]), ["aa", "bb"], proto, langid.Bundler(64, 7))
+    assert grams[0] > 0 and cos[0, 0] == cos[0, 1] and cos.argmax(axis=1)[0] == 0

@@ -139,3 +139,7 @@ def test_odd_rows(spark, odd, empty):
     assert rows[5]["quality_keep"] and rows[5]["quality_share"] == 1.0
     assert got.columns[:4] == odd.columns
     assert linecrf.assess(empty, *linecrf.fit(empty, labels)).count() == 0
+
+
+def test_ties_go_to_content():
+    assert linecrf.decode(np.zeros((5, 2)), np.array([0, 2, 5]), np.zeros((2, 2))).tolist() == [0] * 5
