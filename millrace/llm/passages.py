@@ -8,8 +8,10 @@
    pair at Jaccard 0.8 meets in one of 3 bands of 2 rows with probability 0.95,
    equal paragraphs always do.
 3. Distinct paragraphs that collide in a band are joined. Bit maps of the sets
-   rule out most pairs without loss; the rest are verified by the
-   exact Jaccard of their bigram sets: small buckets together by counting shared
+   rule out most pairs without loss. Common bigrams fill some buckets with more
+   paragraphs as the corpus grows; these buckets are cut by prefixes: two sets at the
+   threshold share one of the rarest items of each, so only those that do are compared.
+   The rest are verified by the exact Jaccard of their bigram sets: small groups together by counting shared
    bigrams, large ones by matrix products.
 4. Verified pairs are clustered by connected components. Of every cluster the
    first occurrence (by doc_id, then place) stays and all others may go.
@@ -19,7 +21,7 @@
 A passage of over 50 words leaves at least min_run words of whole paragraphs in
 nearly all cases; up to about two paragraphs at its ends are not removed.
 
-Nothing unbounded meets in one task: large buckets are cut into pairs of tiles, and
+Nothing unbounded meets in one task: large groups are cut into pairs of tiles, and
 of the places of a cluster that a slice of documents holds only the first goes on
 to be compared with those of other slices.
 
@@ -52,6 +54,10 @@ BROADCAST_KEYS = 1_000_000
 #: Bytes of the numbers of paragraphs to remove that are sent to every task.
 BROADCAST_BYTES = 32 << 20
 TILE = 1024
+#: Members of a bucket from which it is cut by prefixes.
+WIDE = 32
+#: Sets that the order of their items is made from.
+SAMPLE = 200_000
 _Q = 0xC2B2AE3D27D4EB4F
 _Q_INV = pow(_Q, -1, 1 << 64)
 _SALTS = np.random.default_rng(41).integers(1, 1 << 63, 64).astype(np.uint64)
@@ -190,10 +196,31 @@ def collisions(docs: DataFrame, parts: int, radius: int, bands: int, rows: int,
     return found.withColumn("bucket", F.xxhash64("bucket", F.spark_partition_id()))
 
 
+def _rarity(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Items that several sets of a sample hold, sorted, and how many hold them. Any
+    order of the items gives the same pairs; that by rarity meets the fewest."""
+    share = max(1, -(-sets.count() // SAMPLE))
+    some = sets.where(F.pmod(F.xxhash64("content"), F.lit(share)) == 0).select("items").toArrow().column("items")
+    item, count = np.unique(np.concatenate([np.zeros(0, "<u8"), *[np.frombuffer(x.as_buffer(), "<u8") for x in some]]), return_counts=True)
+    return item[count > 1], count[count > 1]
+
+
+def _prefixes(size: np.ndarray, items: np.ndarray, order: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and item of every set's prefix: its rarest items, so many that two sets
+    at the threshold have one of them in common. size: items of each set."""
+    known, at = _member(order[0], items)
+    count = np.where(known, order[1][at], 0) if len(order[0]) else np.zeros(len(items), np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
+    by = np.lexsort((items, count, owner))
+    take = by[tg.spread(size) < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner]]
+    return owner[take], items[take]
+
+
 def verified(docs: DataFrame, met: DataFrame, parts: int, radius: int, threshold: float, tile: int = TILE) -> DataFrame:
     """Edges (node, root) between contents whose exact Jaccard is high enough.
-    Buckets of over two tiles are cut by their contents' hashes, and each pair of
-    tiles is a group of its own, wherever it is counted."""
+    Buckets of WIDE members are cut by the prefixes of their sets. Groups of over two
+    tiles are cut by their contents' hashes, and each pair of tiles is a group of its
+    own, wherever it is counted."""
     spark = docs.sparkSession
     wanted = met.select("content").distinct().checkpoint()
     # A filter of bounded size keeps other contents' sets at home; the join decides.
@@ -220,7 +247,19 @@ def verified(docs: DataFrame, met: DataFrame, parts: int, radius: int, threshold
         i, j = np.nonzero(over >= -1e-3)
         return graph.stars(i + left.start, j + right.start)
 
-    keys = ["bucket", "low", "high"]
+    keys = ["bucket", "item", "low", "high"]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = batch.column("wide").to_numpy(zero_copy_only=False)
+            for rows in (np.flatnonzero(~wide), np.flatnonzero(wide)):
+                own, item = rows, np.zeros(len(rows), np.uint64)
+                if len(rows) and wide[rows[0]]:
+                    items = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column("items").take(pa.array(rows))]
+                    at, item = _prefixes(np.array([len(x) for x in items]), np.concatenate(items), rarity.value, threshold)
+                    own = rows[at]
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([batch.column("bucket").take(pa.array(own)), pa.array(item.view(np.int64)), batch.column("content").take(pa.array(own))], names=["bucket", "item", "content"])
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in jaccard._streamed(batches, keys, jaccard.HELD):
@@ -236,8 +275,8 @@ def verified(docs: DataFrame, met: DataFrame, parts: int, radius: int, threshold
             wide = np.diff(bounds) >= jaccard.DENSE_FROM
             x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in zip(bounds[:-1][wide].tolist(), bounds[1:][wide].tolist()):
-                if cols[1][a] != cols[2][a]:
-                    split = a + int(np.searchsorted(side[a:b], cols[2][a]))
+                if cols[2][a] != cols[3][a]:
+                    split = a + int(np.searchsorted(side[a:b], cols[3][a]))
                     pairs = [(slice(a, split), slice(split, b))] if a < split < b else []
                 else:
                     cuts = [slice(p, min(b, p + tile)) for p in range(a, b, tile)]
@@ -256,11 +295,15 @@ def verified(docs: DataFrame, met: DataFrame, parts: int, radius: int, threshold
             i, j = graph.stars(content[np.concatenate(x)], content[np.concatenate(y)])
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64())], names=["node", "root"])
 
-    found = docs.mapInArrow(tidy(sets), "content long, items binary").groupBy("content").agg(F.first("items").alias("items"))
-    wide = met.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 2")
-    placed = met.join(wide, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("content"), F.col("tiles").cast("long")).cast("int"))
-    placed = placed.select("bucket", "content", "side", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    placed = placed.select("bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "content")
+    found = docs.mapInArrow(tidy(sets), "content long, items binary").groupBy("content").agg(F.first("items").alias("items")).join(wanted, "content", "left_semi").checkpoint()
+    rarity = spark.sparkContext.broadcast(_rarity(found))
+    many = met.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= WIDE).select("bucket", F.lit(True).alias("wide"))
+    placed = met.join(many, "bucket", "left").withColumn("wide", F.coalesce("wide", F.lit(False))).join(found, "content").select("bucket", "wide", "content", "items")
+    placed = placed.mapInArrow(tidy(prefixes), "bucket long, item long, content long").checkpoint()
+    groups = placed.groupBy("bucket", "item").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.when(F.col("n") > 2 * tile, F.ceil(F.col("n") / tile)).otherwise(1).cast("int"))
+    placed = placed.join(groups, ["bucket", "item"]).withColumn("side", F.pmod(F.xxhash64("content"), F.col("tiles").cast("long")).cast("int"))
+    placed = placed.select("bucket", "item", "content", "side", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    placed = placed.select("bucket", "item", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "content")
     held = placed.join(found, "content").repartition(parts, *keys).sortWithinPartitions(*keys, "side", "content")
     return held.mapInArrow(tidy(lead), "node long, root long")
 

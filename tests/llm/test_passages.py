@@ -156,3 +156,43 @@ def test_clashing_columns_and_ids(spark):
     assert got.columns == ["doc_id", "text", "gone", "sign", *passages.ADDED] and got.collect()[0]["gone"] == "x"
     with pytest.raises(ValueError, match="integers"):
         passages.dedup(docs.selectExpr("'a' as doc_id", "text"))
+
+
+@pytest.mark.parametrize("tile", [passages.TILE, 8])
+def test_a_wide_bucket_gives_all_its_pairs(spark, tile):
+    rng = np.random.default_rng(12)
+    rows = [(i, prose(rng, "en", 40)) for i in range(60)]
+    rows += [(60 + i, t.replace(" of ", " off ", 1)) for i, t in rows]
+    p = passages.Paragraphs(pa.array([t for _, t in rows]), 4)
+    held = dict(zip(p.contents().view(np.int64).tolist(), (set(p.items[a:b].tolist()) for a, b in zip(p.begin, p.stop))))
+    assert len(held) > 10 * passages.WIDE
+    met = spark.createDataFrame([(1, c) for c in held], "bucket long, content long")
+    found = passages.verified(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), met, 4, 4, 0.8, tile=tile)
+    pairs = [(x, y) for x in held for y in held if x < y and len(held[x] & held[y]) >= 0.8 * len(held[x] | held[y])]
+    truth = passages.graph.stars(*map(np.array, zip(*pairs)))
+    got = passages.graph.stars(*map(np.array, zip(*(tuple(r) for r in found.collect()))))
+    assert dict(zip(*map(np.ndarray.tolist, got))) == dict(zip(*map(np.ndarray.tolist, truth)))
+
+
+def test_sets_with_common_items_only_in_common_are_not_compared():
+    rng = np.random.default_rng(14)
+    common = np.arange(1, 11, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([common, rng.integers(100, 1 << 60, 6).astype(np.uint64)])) for _ in range(400)]
+    _, item = passages._prefixes(np.full(400, 16), np.concatenate(sets), (common, np.full(10, 400)), 0.8)
+    assert np.unique(item, return_counts=True)[1].max() == 1
+
+
+def test_prefixes_of_sets_at_the_threshold_meet():
+    rng = np.random.default_rng(13)
+    items = rng.integers(1, 40, (400, 12)).astype(np.uint64)
+    sets = [np.unique(x[: rng.integers(1, 13)]) for x in items]
+    size = np.array([len(s) for s in sets])
+    order = (np.arange(1, 30, dtype=np.uint64), rng.integers(2, 50, 29))
+    for known in (order, (order[0][:0], order[1][:0])):
+        owner, item = passages._prefixes(size, np.concatenate(sets), known, 0.8)
+        own = [set(item[owner == k].tolist()) for k in range(len(sets))]
+        for x in range(len(sets)):
+            for y in range(x):
+                both = len(set(sets[x].tolist()) & set(sets[y].tolist()))
+                if both >= 0.8 * (size[x] + size[y] - both):
+                    assert own[x] & own[y]
