@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import struct
+import warnings
 from typing import NamedTuple
 
 import numpy as np
@@ -173,8 +174,11 @@ class Encoder:
         if verify:
             try:
                 import sentencepiece
-            except ImportError:
-                pass
+            except ModuleNotFoundError as gone:
+                # Only a library that isn't there gives no answer; a broken one fails.
+                if gone.name != "sentencepiece":
+                    raise
+                warnings.warn("piece_parity is null: the sentencepiece library is missing", RuntimeWarning, stacklevel=2)
             else:
                 self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
         spelled = []

@@ -103,6 +103,20 @@ def test_parity_is_null_without_the_library(odd, tmp_path, monkeypatch):
     assert got[0].null_count == 1 and got[2].to_pylist() == [None, None]
 
 
+def test_a_broken_library_is_an_error(tmp_path, monkeypatch):
+    for text in ("raise ImportError('libsentencepiece.so: cannot open shared object file')", "import a_module_that_is_missing"):
+        folder = tmp_path / str(len(text))
+        folder.mkdir()
+        (folder / "sentencepiece.py").write_text(text)
+        monkeypatch.delitem(sys.modules, "sentencepiece", raising=False)
+        monkeypatch.syspath_prepend(folder)
+        with pytest.raises(ImportError):
+            pieces.Encoder(unigram_model())
+    monkeypatch.setitem(sys.modules, "sentencepiece", None)
+    with pytest.warns(RuntimeWarning, match="missing"):
+        assert pieces.Encoder(unigram_model()).other is None
+
+
 def test_forgetting_rare_chunks_changes_nothing(model):
     rng = np.random.default_rng(19)
     texts = [pa.array([prose(rng, "en", 300), f"odd{k} word{k}", "the water of the"]) for k in range(12)]
