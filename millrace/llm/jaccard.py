@@ -8,9 +8,12 @@ into vertical fragments, and a document is a segment in each of them.
    nodes each gram occurs. A node that shares fewer grams with others than the
    threshold asks for has no partner; most documents drop out here.
 3. Of the rest each node's prefix is taken: its rarest grams, as many as any partner
-   must share one of. Nodes whose prefixes meet are linked to the least node of the
-   gram, first within each task, so that a gram that many hold stays cheap; linked
-   nodes form candidate groups. Two nodes at the threshold are always in one group.
+   must share MEET of (or all, if fewer make the threshold). Two nodes are linked if
+   their sizes and the places of the common grams allow the threshold, and they have
+   MEET of them in common: unrelated nodes share one or two rare grams by chance, more
+   of them the larger the corpus. A gram in over HOT prefixes links all its nodes
+   to the least one, so that it stays cheap. Linked nodes form candidate groups; two
+   nodes at the threshold are always in one group.
 4. Groups are tiled (by document size and hash, if they are larger than a tile), and
    every fragment of a pair of tiles is a task of its own that counts the partial
    overlap of its segments. A partial count is left out only if the pair can't reach
@@ -53,7 +56,12 @@ PAIRS = "doc_a long, doc_b long, overlap int, grams_a int, grams_b int, jaccard
 PARTIAL = "root long, low long, high long, fragment int, held int, node binary, grams binary, copies binary, doc binary, x binary, y binary, n binary"
 HEADS = {"node": "<u8", "grams": "<u4"}
 RANKED = {"node": "<u8", "grams": "<u4", "fragment": "<u4"}
-POSTING = {"key": "<u8", "node": "<u8", "root": "<u8", "grams": "<u4"}
+POSTING = {"key": "<u8", "node": "<u8", "grams": "<u4", "place": "<u4"}
+PAIR = {"key": "<u4", "low": "<u8", "high": "<u8", "grams_low": "<u4", "grams_high": "<u4", "need": "u1"}
+#: Grams that the prefixes of two nodes must have in common.
+MEET = 3
+#: Nodes of a gram up to which their pairs are counted.
+HOT = 256
 
 
 def signatures(w: tg.Words) -> np.ndarray:
@@ -78,6 +86,7 @@ def _required(grams: np.ndarray, threshold: float) -> np.ndarray:
 def links(docs: DataFrame, n: int, threshold: float, parts: int) -> DataFrame:
     """Candidate edges (node, root, grams of the node), with a loop for every node
     that has an edge. Nodes at the threshold are connected by them."""
+    hot = HOT
 
     def segments(batches: Iterator[pa.RecordBatch]):
         sent = np.zeros(0, np.uint64)
@@ -145,42 +154,61 @@ def links(docs: DataFrame, n: int, threshold: float, parts: int) -> DataFrame:
         counts = np.bincount(owner, minlength=len(nodes))
         counts = counts[counts > 0]
         # Grams of one node only come first in the order; they meet nothing.
-        take = tg.spread(counts) < (shared - need + 1)[owner]
-        owner, key = owner[take], key[take]
-        if not len(owner):
-            return
-        order = np.lexsort((owner, key))
-        owner, key = owner[order], key[order]
-        bounds = blobs.runs(key)
-        least = owner[bounds[:-1]]
-        child, root = graph.stars(owner, np.repeat(least, np.diff(bounds)))
-        yield {"key": tg.mix(key[bounds[:-1]]), "node": nodes[least], "root": nodes[least], "grams": grams[least]}
-        yield {"key": tg.mix(nodes[child]), "node": nodes[child], "root": nodes[root], "grams": grams[child]}
+        rank = tg.spread(counts)
+        take = rank < (shared - need + MEET)[owner]
+        owner, key, rank = owner[take], key[take], rank[take]
+        yield {"key": tg.mix(key), "node": nodes[owner], "grams": grams[owner], "place": (grams - shared)[owner] + rank}
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[blobs.Columns]:
         c = blobs.receive(batches, POSTING)
-        post = c["node"] == c["root"]
-        order = np.flatnonzero(post)
-        order = order[np.lexsort((c["node"][order], c["key"][order]))]
-        bounds = blobs.runs(c["key"][order])
-        root = np.repeat(c["node"][order][bounds[:-1]], np.diff(bounds))
-        node = c["node"][order]
-        child, root = graph.stars(np.concatenate([node, c["node"][~post]]), np.concatenate([root, c["root"][~post]]))
+        order = np.lexsort((c["node"], c["key"]))
+        c = {k: v[order] for k, v in c.items()}
+        bounds = blobs.runs(c["key"])
+        size = np.diff(bounds)
+
+        def rows(x: np.ndarray, y: np.ndarray, need: np.ndarray) -> blobs.Columns:
+            low, high = c["node"][x], c["node"][y]
+            return {"key": tg.mix(low ^ tg.mix(high)), "low": low, "high": high, "grams_low": c["grams"][x], "grams_high": c["grams"][y], "need": need}
+
+        for s in np.unique(size[size > 1]):
+            heads = bounds[:-1][size == s]
+            i, j = np.triu_indices(s, 1) if s <= hot else (np.zeros(s - 1, np.int64), np.arange(1, s))
+            step = max(1, (1 << 19) // len(i))
+            for a in range(0, len(heads), step):
+                x, y = (heads[a : a + step, None] + i).ravel(), (heads[a : a + step, None] + j).ravel()
+                some = c["node"][x] != c["node"][y]
+                need = np.zeros(len(x), np.int64)
+                if s <= hot:
+                    m, n = c["grams"][x].astype(np.int64), c["grams"][y].astype(np.int64)
+                    both = np.maximum(np.ceil(threshold / (1 + threshold) * (m + n) - 1e-6), 1).astype(np.int64)
+                    need = np.minimum(MEET, both)
+                    some &= (np.minimum(m, n) >= both) & (c["place"][x] < m - both + need) & (c["place"][y] < n - both + need)
+                if some.any():
+                    yield rows(x[some], y[some], need[some])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = blobs.receive(batches, PAIR)
+        order = np.lexsort((c["need"], c["high"], c["low"]))
+        c = {k: v[order] for k, v in c.items()}
+        new = np.ones(len(order), bool)
+        new[1:] = (c["low"][1:] != c["low"][:-1]) | (c["high"][1:] != c["high"][:-1])
+        head = np.flatnonzero(new)
+        head = head[np.diff(np.append(head, len(order))) >= c["need"][head]]
+        child, root = graph.stars(c["low"][head], c["high"][head])
         if not len(child):
             return
-        known, at = np.unique(c["node"], return_index=True)
-        some = np.unique(np.concatenate([child, root]))
-        node, root = np.concatenate([child, some]), np.concatenate([root, some])
-        # The root of an edge from elsewhere may have no row here; its size comes with its own.
-        held = np.minimum(np.searchsorted(known, node), len(known) - 1)
-        grams = np.where(known[held] == node, c["grams"][at][held], 0)
+        known, at = np.unique(np.concatenate([c["low"][head], c["high"][head]]), return_index=True)
+        grams = np.concatenate([c["grams_low"][head], c["grams_high"][head]])[at]
+        node, root = np.concatenate([child, known]), np.concatenate([root, known])
+        grams = grams[np.searchsorted(known, node)]
         for a in range(0, len(node), 1 << 16):
             cut = slice(a, a + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(node[cut].view(np.int64)), pa.array(root[cut].view(np.int64)), pa.array(grams[cut].astype(np.int32))], names=["node", "root", "grams"])
 
     ranked = blobs.send_runs(docs, segments, HEADS, {"gram": "<u4"}, parts)
     ranked = blobs.send_runs(ranked, frequencies, RANKED, {"gram": "<u4", "df": "u1"}, parts)
-    return blobs.send(ranked, prefixes, POSTING, parts).mapInArrow(tidy(meet), "node long, root long, grams int")
+    met = blobs.send(blobs.send(ranked, prefixes, POSTING, parts), meet, PAIR, parts)
+    return met.mapInArrow(tidy(pairs), "node long, root long, grams int")
 
 
 def tiles(members: DataFrame, threshold: float, tile: int) -> DataFrame:

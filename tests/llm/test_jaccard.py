@@ -77,6 +77,25 @@ def test_classes_equal_brute_force(spark, corpus, options):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == {i: (root[i], links[i]) for i in root}
 
 
+@pytest.mark.parametrize("hot", [2, 12])
+def test_hot_grams_lose_no_pair(spark, corpus, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(5)
+    name = named(corpus)
+    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.join(docs).collect()}
+    assert got == {(a, b) for a, b in brute(corpus, 3, 0.6) if name[a] == a and name[b] == b and name[a] != name[b]}
+
+
+def test_grams_shared_by_chance_make_no_groups(spark):
+    """Other documents hold nearly all grams of each, but no pair is similar."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 12, 40))) for i in range(300)]
+    assert not brute(rows, 3, 0.6)
+    docs = spark.createDataFrame(rows + [(300, rows[0][1] + " end")], "doc_id long, text string").repartition(4)
+    edges = jaccard.links(docs, 3, 0.6, 4).where("node <> root").count()
+    assert 1 <= edges < 30
+
+
 def test_one_gram_in_all_documents(spark):
     """A phrase that every document holds links nothing by itself."""
     rng = np.random.default_rng(4)
