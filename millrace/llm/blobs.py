@@ -8,6 +8,7 @@ millions of rows. The number of partitions follows spark.sql.shuffle.partitions.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,16 @@ def send(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[Colu
     """df turned into packed columns by rows, shuffled by the 64-bit column key.
     kinds: numpy type of each column; key is one of them, and if its type is
     narrower, its low bits are sent."""
+    return send_all([(df, rows)], kinds, parts)
+
+
+def send_all(sources: list[tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[Columns]]]], kinds: dict[str, str], parts: int) -> DataFrame:
+    """Like send, for several tables: rows of one key meet, whichever table they are of."""
+    packed = [_packed(df, rows, kinds, parts) for df, rows in sources]
+    return reduce(DataFrame.union, packed).repartitionById(parts, "part")
+
+
+def _packed(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[Columns]], kinds: dict[str, str], parts: int) -> DataFrame:
     names = list(kinds)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,8 +76,7 @@ def send(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[Colu
         if held:
             yield from flush()
 
-    packed = df.mapInArrow(tidy(pack), "part int, " + ", ".join(f"{c} binary" for c in names))
-    return packed.repartitionById(parts, "part")
+    return df.mapInArrow(tidy(pack), "part int, " + ", ".join(f"{c} binary" for c in names))
 
 
 def send_runs(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, Columns, Columns]]], heads: dict[str, str], items: dict[str, str], parts: int) -> DataFrame:

@@ -1,9 +1,10 @@
 """Connected components of an edge table.
 
 Each partition first replaces its edges by a spanning forest of stars, which has
-fewer edges than nodes. If what is left fits one task, that task joins the
-forests; else large-star and small-star rounds run on the cluster, each written
-to the checkpoint folder, until nothing changes.
+fewer edges than nodes. If what is left fits one task, or its nodes are so few that
+the forest of all of it does, that task joins the forests; else large-star and
+small-star rounds run on the cluster, each written to the checkpoint folder, until
+nothing changes.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def components(spark: SparkSession, edges: DataFrame, one_task_edges: int = ONE_
     edges = edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("root")).where("node is not null and root is not null")
     loops = edges.where("node = root")
     left = edges.where("node <> root").mapInArrow(tidy(_forest), "node long, root long").checkpoint()
-    if left.count() <= one_task_edges:
+    if left.count() <= one_task_edges or _nodes(left) <= one_task_edges // 2:
         tree = left.coalesce(1).mapInArrow(tidy(_forest), "node long, root long")
     else:
         tree = _star_rounds(left)
@@ -77,6 +78,10 @@ def components(spark: SparkSession, edges: DataFrame, one_task_edges: int = ONE_
     return tree.union(roots.distinct())
 
 
+def _nodes(edges: DataFrame) -> int:
+    return edges.select(F.explode(F.array("node", "root")).alias("node")).distinct().count()
+
+
 def _star_rounds(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))

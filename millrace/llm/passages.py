@@ -49,11 +49,13 @@ from . import textgrid as tg
 from .memory import tidy
 
 U = np.uint64
-#: Clusters' members that are sent to every task (16 bytes each); more are joined.
+#: Clusters' members that are sent to every task (16 bytes each); more are sent to the tasks of their contents.
 BROADCAST_KEYS = 1_000_000
 #: Bytes of the numbers of paragraphs to remove that are sent to every task.
 BROADCAST_BYTES = 32 << 20
 TILE = 1024
+#: What sure says of a row that names the root of a content.
+ROOT = 2
 #: Members of a bucket from which it is cut by prefixes.
 WIDE = 32
 #: Sets that the order of their items is made from.
@@ -394,22 +396,38 @@ def removable(docs: DataFrame, clusters: DataFrame, parts: int, radius: int, min
             head = bounds[:-1]
             yield pa.RecordBatch.from_arrays([pa.array(c["doc"][head]), pa.array(c["sign"][head].astype(np.int64)), tg.lists(c["at"], bounds, pa.int32())], names=["doc_id", "sign", "gone"])
 
-    if few is None:
-        # Too many clusters to hold: the roots are joined by key.
-        def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, p in _cut(batches, radius):
-                ids = part.column("doc_id").to_numpy()
-                cols = [p.contents().view(np.int64), ids[p.doc], p.signs()[p.doc].astype(np.int64), (np.arange(len(p.doc)) - p.first[p.doc]).astype(np.int32), (p.stop - p.begin).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=list(PLACE)[:5])
-
-        rows = docs.mapInArrow(tidy(plain), "key long, doc long, sign long, at int, words int")
-        rows = rows.join(clusters.withColumnRenamed("node", "key"), "key", "left").withColumn("key", F.coalesce("root", "key")).drop("root")
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[blobs.Columns]:
+        for batch in batches:
+            node, root = batch.column("node").to_numpy(), batch.column("root").to_numpy()
+            own = np.unique(root)
+            node, root = np.concatenate([node, own]), np.concatenate([root, own])
+            none = np.zeros(len(node), np.int64)
+            yield {"key": node.view(np.uint64), "doc": root, "sign": none, "at": none, "words": none, "sure": none + ROOT}
 
-        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[blobs.Columns]:
-            for batch in batches:
-                yield _sure({k: batch.column(k).to_numpy().astype("<i8").view("<u8") if k == "key" else batch.column(k).to_numpy() for k in list(PLACE)[:5]})
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[blobs.Columns]:
+        c = blobs.receive(batches, PLACE)
+        sure = c["sure"] == 1
+        if sure.any():
+            yield {k: v[sure] for k, v in c.items()}
+        named = c["sure"] == ROOT
+        node, one = np.unique(c["key"][named], return_index=True)
+        root = c["doc"][named].view(np.uint64)[one]
+        c = {k: v[~sure & ~named] for k, v in c.items()}
+        here, at = _member(node, c["key"])
+        c["key"] = c["key"].copy()
+        c["key"][here] = root[at[here]]
+        order = np.argsort(c["key"], kind="stable")
+        size = np.diff(blobs.runs(c["key"][order]))
+        order = order[np.repeat(size > 1, size) | here[order]] if len(order) else order
+        c = _sure({k: v[order] for k, v in c.items()})
+        # All places of a content are here: without a cluster, its first one stays.
+        on = (c["sure"] > 0) | _member(np.unique(root), c["key"])[0]
+        yield {k: v[on] for k, v in c.items()}
 
-        first = blobs.send(rows, again, PLACE, parts)
+    if few is None:
+        # Too many clusters to send to every task: their roots go where the places of
+        # the contents go. Only places that repeat or have a cluster are sent again.
+        first = blobs.send(blobs.send_all([(docs, send), (clusters, told)], PLACE, parts), resolve, PLACE, parts)
     else:
         first = blobs.send(docs, send, PLACE, parts)
     return blobs.send(first, later, PLACE, parts).mapInArrow(tidy(gather), "doc_id long, sign long, gone array<int>")
