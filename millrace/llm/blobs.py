@@ -22,10 +22,23 @@ FLUSH = 12 << 20
 Columns = dict[str, np.ndarray]
 
 
+#: Partitions that are stored in one file.
+IN_FILE = 4
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder, several small partitions to a file, but
+    two files a core at least. Each partition is still computed by itself. Without
+    its native library, Hadoop starts a process for every local file to set its mode;
+    until that has its own program, it counts as a second copy of the executor's JVM."""
+    sc = df.sparkSession.sparkContext
+    return df.coalesce(max(width(df.sparkSession) // IN_FILE, 2 * sc.defaultParallelism)).checkpoint()
+
+
 def fragment(key: np.ndarray, parts: int) -> np.ndarray:
     """The partition of each key: equal ranges of the 64-bit key space."""
     return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)

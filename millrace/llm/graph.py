@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import shared_dir
 
+from . import blobs
 from .memory import tidy
 
 ONE_TASK_EDGES = 4_000_000
@@ -69,7 +70,7 @@ def components(spark: SparkSession, edges: DataFrame, one_task_edges: int = ONE_
     a, b = edges.columns
     edges = edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("root")).where("node is not null and root is not null")
     loops = edges.where("node = root")
-    left = edges.where("node <> root").mapInArrow(tidy(_forest), "node long, root long").checkpoint()
+    left = blobs.stored(edges.where("node <> root").mapInArrow(tidy(_forest), "node long, root long"))
     if left.count() <= one_task_edges or _nodes(left) <= one_task_edges // 2:
         tree = left.coalesce(1).mapInArrow(tidy(_forest), "node long, root long")
     else:

@@ -458,7 +458,7 @@ def _search(docs: DataFrame, n: int, threshold: float, fragments: int, tile: int
     shared_dir(spark)
     rows = docs.mapInArrow(tidy(_documents), "doc_id long, node long").distinct().checkpoint()
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    edges = links(docs, n, threshold, parts).checkpoint()
+    edges = blobs.stored(links(docs, n, threshold, parts))
     sizes = edges.groupBy("node").agg(F.max("grams").alias("grams"))
     members = graph.components(spark, edges.where("node <> root").select("node", "root")).join(sizes, "node")
     placed = tiles(members, threshold, tile).join(nodes, "node").checkpoint()
@@ -489,7 +489,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     Jaccard of at least threshold, copies of it among them)."""
     spark = docs.sparkSession
     rows, nodes, counts = _search(_read(docs, doc_id, text), n, threshold, fragments, tile)
-    found = counts.mapInArrow(tidy(_linked(threshold)), "node long, root long, links long").checkpoint()
+    found = blobs.stored(counts.mapInArrow(tidy(_linked(threshold)), "node long, root long, links long"))
     linked = found.groupBy("node").agg(F.sum("links").alias("links")).join(graph.components(spark, found.select("node", "root")), "node")
     least = linked.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     linked = linked.join(least, "root").select("node", "links", "class_id")

@@ -7,9 +7,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
+from . import textgrid as tg
+
 
 def release() -> None:
-    """Returns free memory of Arrow's pool and of the C library to the system."""
+    """Drops tables that are quickly made again, and returns free memory of Arrow's
+    pool and of the C library to the system."""
+    tg.forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -450,9 +450,9 @@ def dedup(
     shared_dir(spark)
     parts = blobs.width(spark)
     plain = docs.select(frames.integers(docs, doc_id).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null")
-    met = collisions(plain, parts, radius, bands, rows, threshold).checkpoint()
+    met = blobs.stored(collisions(plain, parts, radius, bands, rows, threshold))
     clusters = graph.components(spark, verified(plain, met, parts, radius, threshold))
-    gone = removable(plain, clusters, parts, radius, min_run).checkpoint()
+    gone = blobs.stored(removable(plain, clusters, parts, radius, min_run))
     lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("sign", "gone")).alias("gone"))
     if (gone.agg(F.sum(40 + 4 * F.size("gone"))).first()[0] or 0) <= BROADCAST_BYTES:
         lists = F.broadcast(lists)

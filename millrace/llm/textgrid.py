@@ -65,6 +65,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget() -> None:
+    """Drops the tables of powers, about 20 MB each after slices of usual size."""
+    _powers.clear()
+
+
 def flat(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, and the offsets between them. Null is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -1,10 +1,14 @@
 import itertools
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from millrace.llm import graph, jaccard
+from millrace.llm import graph, jaccard, memory
+from millrace.llm import textgrid as tg
+from millrace.session import shared_dir
 from tests.llm.conftest import prose
 
 
@@ -114,6 +118,36 @@ def test_without_broadcasts(spark, corpus, monkeypatch):
     assert kept == {r["doc_id"] for r in wanted if r["doc_id"] == r["class_id"]}
 
 
+def test_many_partitions_are_stored_in_few_files(spark, corpus):
+    """Hadoop starts a process for every file that it makes."""
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    wanted = sorted(jaccard.classes(docs).collect())
+    folder = Path(shared_dir(spark))
+    before = set(folder.rglob("part-*"))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        assert sorted(jaccard.classes(docs).collect()) == wanted
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    files = Counter(f.parent for f in set(folder.rglob("part-*")) - before)
+    assert files and max(files.values()) <= 16
+
+
+def test_a_task_leaves_no_tables_behind():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c " * 50_000])], names=["text"])
+    made = []
+
+    def run(batches):
+        for b in batches:
+            made.append((len(tg.words(b.column("text")).hash), sum(v.nbytes for v in tg._powers.values())))
+            yield b
+
+    assert list(memory.tidy(run)(iter([batch]))) == [batch]
+    assert made[0][0] == 150_000 and made[0][1] > 1 << 20
+    assert not tg._powers
+
+
 def test_keep_one_leaves_the_least_id_of_each_group(spark, corpus):
     docs = spark.createDataFrame(corpus, "doc_id long, text string")
     kept = {r["doc_id"] for r in jaccard.keep_one(docs).collect()}
