@@ -271,3 +271,19 @@ def test_places_among_ties_go_by_rank():
     s = np.array([[3.0, 1, 3, 3, 0], [1, 1, 1, 1, 1]])
     i, j = similar._top(s, np.array([4, 0, 1, 2, 3]), 2)
     assert list(zip(i.tolist(), j.tolist())) == [(0, 2), (0, 3), (1, 1), (1, 2)]
+
+
+def test_average_linkage_holds_no_matrix_of_distances():
+    """Equal and zero vectors too; and more rows than a matrix would fit for."""
+    import tracemalloc
+
+    x = vectors(60)
+    x[7], x[8], x[9] = x[3], x[3], 0
+    labels = similar.average_linkage(x, 6)
+    assert len(set(labels)) == 6 and labels[7] == labels[8] == labels[3]
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 4))
+    tracemalloc.start()
+    assert len(set(similar.average_linkage(x, 600))) == 600
+    assert tracemalloc.get_traced_memory()[1] < 6000 * 6000 * 8
+    tracemalloc.stop()
