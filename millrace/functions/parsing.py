@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import blank, col, squeeze, strip, tag_body
+from .columns import blank, col, let, squeeze, strip, tag_body
 
 
 def _text(x: Column | str) -> Column:
@@ -188,28 +188,39 @@ def multiple_choice(x: Column | str, expected: int = 5) -> Column:
     "**Answer:** A) ...". Questions whose answer is no option of theirs are left
     out; of the first expected ones each (title, answer) counts once."""
     blocks = F.filter(F.split(_text(x), _MCQ_HEAD.replace("^", "(?=^").replace("$", "$)").replace("(.*?)", ".*?")), lambda b: b.rlike(_MCQ_HEAD))
+    line = r"(?mi)^\s*[*]{2}Answer:[*]{2}\s*([A-F])[)]\s*(\S.*?)\s*$"
+    option = r"(?m)^\s*-\s*([A-F])[)]\s*(\S.*?)\s*$"
 
-    def read(b: Column) -> Column:
-        title = strip(F.regexp_extract(b, _MCQ_HEAD, 1))
-        line = r"(?mi)^\s*[*]{2}Answer:[*]{2}\s*([A-F])[)]\s*(\S.*?)\s*$"
+    # Each step is a variable of the next one's lambda, and so computed once.
+    def options(b: Column) -> Column:
         # Options stand above the answer line.
         above = F.regexp_replace(b, r"(?msi)^\s*[*]{2}Answer:[*]{2}\s*[A-F][)]\s*\S.*", "")
-        option = r"(?m)^\s*-\s*([A-F])[)]\s*(\S.*?)\s*$"
-        pairs = F.arrays_zip(F.regexp_extract_all(above, F.lit(option), F.lit(1)).alias("k"), F.regexp_extract_all(above, F.lit(option), F.lit(2)).alias("v"))
-        letters = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["k"])))
-        options = F.map_from_entries(F.transform(letters, lambda a: F.struct(a.alias("k"), F.element_at(F.filter(pairs, lambda p: p["k"] == a), -1)["v"].alias("v"))))
-        shown = F.array_join(F.transform(letters, lambda a: F.concat(F.lit("\n   - "), a, F.lit(") "), F.try_element_at(options, a))), "")
+        pairs = let(above, lambda t: F.arrays_zip(F.regexp_extract_all(t, F.lit(option), F.lit(1)).alias("k"), F.regexp_extract_all(t, F.lit(option), F.lit(2)).alias("v")))
+
+        def last(p: Column) -> Column:
+            letters = F.array_sort(F.array_distinct(F.transform(p, lambda o: o["k"])))
+            return F.map_from_entries(F.transform(letters, lambda a: F.struct(a.alias("k"), F.element_at(F.filter(p, lambda o: o["k"] == a), -1)["v"].alias("v"))))
+
+        return let(pairs, last)
+
+    def question(b: Column, title: Column, found: Column) -> Column:
+        shown = F.array_join(F.transform(F.map_entries(found), lambda o: F.concat(F.lit("\n   - "), o["key"], F.lit(") "), o["value"])), "")
         return F.struct(
             F.concat(title, shown).alias("question"),
             title.alias("question_title"),
-            options.alias("options"),
+            found.alias("options"),
             F.upper(F.regexp_extract(b, line, 1)).alias("answer"),
             F.regexp_extract(b, line, 2).alias("answer_text"),
         )
 
-    valid = F.filter(F.transform(blocks, read), lambda q: F.coalesce(F.array_contains(F.map_keys(q["options"]), q["answer"]), F.lit(False)))
-    some = F.slice(valid, 1, expected) if expected > 0 else valid
-    return F.filter(some, lambda q, i: ~F.exists(F.slice(some, F.lit(1), i), lambda p: (p["question_title"] == q["question_title"]) & (p["answer"] == q["answer"])))
+    def read(b: Column) -> Column:
+        return let(F.struct(strip(F.regexp_extract(b, _MCQ_HEAD, 1)).alias("t"), options(b).alias("o")), lambda s: question(b, s["t"], s["o"]))
+
+    def first(valid: Column) -> Column:
+        some = F.slice(valid, 1, expected) if expected > 0 else valid
+        return let(some, lambda s: F.filter(s, lambda q, i: ~F.exists(F.slice(s, F.lit(1), i), lambda p: (p["question_title"] == q["question_title"]) & (p["answer"] == q["answer"]))))
+
+    return let(F.transform(blocks, read), lambda qs: first(F.filter(qs, lambda q: F.coalesce(F.array_contains(F.map_keys(q["options"]), q["answer"]), F.lit(False)))))
 
 
 _SECTION = r"(?i)(?:^|\n)\s*(?:#{3}|[*]{2}|-{3})?\s*(?:Q&?A|Question(?:[\s—–-]*Answer\s*Pairs|s)?)\s*(?:[*]{2}|-{3}|:)?"
@@ -218,22 +229,27 @@ _FALLBACK = r"(?i)(?:^|\n)(?=\s*(?:-\s*)?Q(?:uestion)?\s*[：:])"
 
 def wiki_qa(x: Column | str) -> Column:
     """struct(context, qas) of an article followed by question-answer pairs."""
-    t = _text(x)
-    cut = F.split(t, _SECTION, 2)
-    spare = F.split(t, _FALLBACK, 2)
-    named, other = F.size(cut) > 1, F.size(spare) > 1
-    body = F.when(named, F.get(cut, F.lit(1))).when(other, F.get(spare, F.lit(1))).otherwise(F.lit(""))
-    head = F.when(named, F.get(cut, F.lit(0))).when(other, F.get(spare, F.lit(0)))
-    clean = strip(F.regexp_replace(head, r"(?i)^\s*(?:#{3}\s*)?(?:Wikipedia\s+)?Article(?:\s*:)?", ""))
-    context = F.when(head.isNull(), squeeze(t)).otherwise(squeeze(F.regexp_replace(clean, r"\s*---+\s*$", "")))
-    blocks = F.filter(F.split(body, r"(?m)^\s*(?:[-*•]\s*|\d+[).])?Q(?:uestion)?\s*[：:]?"), lambda b: ~blank(b))
+
+    # Each step is a variable of the next one's lambda, and so computed once.
+    def parts(t: Column) -> Column:
+        cut = F.split(t, _SECTION, 2)
+        return let(cut, lambda named: F.when(F.size(named) > 1, named).otherwise(F.split(t, _FALLBACK, 2)))
 
     def tidy(p: Column) -> Column:
         return squeeze(F.replace(p, F.lit("*"), F.lit("")))
 
+    def pair(p: Column) -> Column:
+        return F.struct(tidy(F.get(p, F.lit(0))).alias("question"), tidy(F.coalesce(F.get(p, F.lit(1)), F.lit(""))).alias("answer"))
+
     def read(b: Column) -> Column:
-        parts = F.split(b, r"(?i)(?:^|\s+)(?:-\s*)?A(?:nswer)?\s*[：:]\s*", 2)
-        return F.struct(tidy(F.get(parts, F.lit(0))).alias("question"), tidy(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("answer"))
+        return let(F.split(b, r"(?i)(?:^|\s+)(?:-\s*)?A(?:nswer)?\s*[：:]\s*", 2), pair)
+
+    def article(p: Column) -> Column:
+        head, body = F.get(p, F.lit(0)), F.coalesce(F.get(p, F.lit(1)), F.lit(""))
+        clean = strip(F.regexp_replace(head, r"(?i)^\s*(?:#{3}\s*)?(?:Wikipedia\s+)?Article(?:\s*:)?", ""))
+        context = F.when(F.size(p) > 1, squeeze(F.regexp_replace(clean, r"\s*---+\s*$", ""))).otherwise(squeeze(head))
+        blocks = F.filter(F.split(body, r"(?m)^\s*(?:[-*•]\s*|\d+[).])?Q(?:uestion)?\s*[：:]?"), lambda b: ~blank(b))
+        qas = let(F.transform(blocks, read), lambda found: F.filter(found, lambda q: (q["question"] != "") & (q["answer"] != "")))
+        return F.struct(context.alias("context"), qas.alias("qas"))
 
-    qas = F.filter(F.transform(blocks, read), lambda q: (q["question"] != "") & (q["answer"] != ""))
-    return F.struct(context.alias("context"), qas.alias("qas"))
+    return let(let(_text(x), parts), article)

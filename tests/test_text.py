@@ -152,3 +152,10 @@ def test_counts_before_every_measure_word_are_cardinals(unit):
 def test_codes_are_read_digit_by_digit_and_words_keep_their_syllable():
     assert chinese.numbers("1500号") == "一五零零号"
     assert chinese.without_erhua("佳儿佳妇去哪儿找苏乞儿和儿童") == "佳儿佳妇去哪找苏乞儿和儿童"
+
+
+@pytest.mark.parametrize("parse,piece,most", [(parsing.multiple_choice, "regexp_extract_all(", 2), (parsing.wiki_qa, "split(", 4)])
+def test_parsers_write_each_step_once(spark, parse, piece, most):
+    """A step that is copied into its users is computed anew for each of them."""
+    plan = spark.range(1).select(parse(F.col("id").cast("string")).alias("q"))._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count(piece) <= most
