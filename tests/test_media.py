@@ -287,3 +287,11 @@ def test_average_linkage_holds_no_matrix_of_distances():
     assert len(set(similar.average_linkage(x, 600))) == 600
     assert tracemalloc.get_traced_memory()[1] < 6000 * 6000 * 8
     tracemalloc.stop()
+
+
+def test_tailor_works_in_tiles(spark, monkeypatch):
+    rows = [(i, v.tolist(), float(i % 5), i % 2) for i, v in enumerate(vectors(40))]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, informativeness double, cluster int")
+    want = sorted((r["id"], round(r["s"], 9)) for r in similar.tailor(df, "id", output="s").collect())
+    monkeypatch.setattr(similar, "TILE", 7)
+    assert sorted((r["id"], round(r["s"], 9)) for r in similar.tailor(df, "id", output="s").collect()) == want
