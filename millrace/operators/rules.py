@@ -8,6 +8,8 @@ decides all rules, and nothing but a Boolean leaves the JVM.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,10 @@ IDENTITY = (
     "(?i)(身{g}份|id{g}number{g}|identification|identity|{g}ID{g}No{g}|id{g}card{g}|NRIC{g}number{g}|IC{g}number{g}|"
     "resident{g}registration{g}|I.D.{g}Number{g})"
 ).replace("{g}", GAP)
-ODD = [r"u200e", r"&#247;|\? :", r"[\x{FFFD}\x{25A1}]|\{/U\}", r"U\+(26[0-F][0-D]|273[3-4]|1F[3-6][0-4][0-F]|1F6[8-F][0-F])"]
+#: One of these is in whatever IDENTITY finds, but for "id no".
+IDENTITY_MARKS = ("份", "number", "identi", "card", "registration")
+ODD = ["u200e", "&#247;", "? :", "\ufffd", "□", "{/U}"]
+ODD_CODE = r"U\+(26[0-F][0-D]|273[3-4]|1F[3-6][0-4][0-F]|1F6[8-F][0-F])"
 BULLETS = "•‣▶◀◦■□▪▫–"
 BREAKS = r"[.!?…,;/|•–\n]"
 
@@ -57,27 +62,41 @@ def broken_rules(text: str, words: str, lines: str, limits: Limits = Limits()) -
     def having(array: Column, test) -> Column:
         return F.size(F.filter(array, test))
 
+    def any_of(x: Column, pieces) -> Column:
+        return reduce(or_, [x.contains(p) for p in pieces])
+
+    # Searches for plain pieces, and bounds by sizes, spare most texts the costly part.
     length = share(F.length(F.array_join(w, "")), n)
+    identity = c.let(F.lower(t), lambda x: any_of(x, IDENTITY_MARKS)) | t.rlike(rf"(?i)id{GAP}no")
+    # More words than the limit have as many blanks between them.
+    long = F.filter(F.split(t, BREAKS), lambda x: F.length(x) > 2 * limits.unbroken_words)
+
+    def distinct(x: Column) -> Column:
+        return share(F.size(F.array_distinct(F.transform(x, F.lower))), n)
+
     # Deleting ASCII punctuation can join or empty a line; case does not matter.
-    bare = F.transform(F.split(F.translate(t, c.PUNCTUATION, ""), "\n"), F.lower)
-    bare = F.filter(bare, lambda x: ~c.blank(x))
+    def scripts(x: Column) -> Column:
+        bare = F.filter(F.transform(F.split(x, "\n"), F.lower), lambda y: ~c.blank(y))
+        found = c.let(bare, lambda b: (F.size(b) > 3) & (having(b, lambda y: ~y.contains("javascript")) < limits.plain_lines))
+        return F.lower(x).contains("javascript") & found if limits.plain_lines <= 4 else found
+
     rules = {
         "blank": c.blank(t),
         "colon_end": t.endswith(":"),
-        "ellipsis_lines": (rows > 0) & (share(having(p, lambda x: x.rlike(rf"(\.\.\.|…){c.SPACE}*$")), rows) >= limits.ellipsis_lines),
+        "ellipsis_lines": (rows > 0) & (share(having(p, lambda x: any_of(x, ("...", "…")) & x.rlike(rf"(\.\.\.|…){c.SPACE}*$")), rows) >= limits.ellipsis_lines),
         "word_length": (length < limits.least_word_length) | (length >= limits.most_word_length),
         "symbols": share(sum((c.occurrences(t, s) for s in ("#", "...", "…")), F.lit(0)), n) >= limits.symbols_per_word,
-        "html_entities": t.rlike("[&＆](" + "|".join(ENTITIES) + ")"),
-        "identity_phrases": F.regexp_count(t, F.lit(IDENTITY)) >= limits.identity_phrases,
-        "unbroken_words": F.coalesce(F.array_max(F.transform(F.split(t, BREAKS), lambda x: F.size(c.words(x)))), F.lit(0)) > limits.unbroken_words,
-        "odd_characters": t.rlike("|".join(f"(?:{x})" for x in ODD)),
+        "html_entities": any_of(t, "&＆") & t.rlike("[&＆](" + "|".join(ENTITIES) + ")"),
+        "identity_phrases": (identity if limits.identity_phrases > 0 else F.lit(True)) & (F.regexp_count(t, F.lit(IDENTITY)) >= limits.identity_phrases),
+        "unbroken_words": F.coalesce(F.array_max(F.transform(long, lambda x: F.size(c.words(x)))), F.lit(0)) > limits.unbroken_words,
+        "odd_characters": any_of(t, ODD) | t.contains("U+") & t.rlike(ODD_CODE),
         "watermark": t.rlike("|".join(limits.watermarks)) if limits.watermarks else F.lit(False),
         "braces": share(c.occurrences(t, "{") + c.occurrences(t, "}"), chars) >= limits.braces_per_char,
         "capital_words": share(having(w, lambda x: x.rlike(r"\p{Lu}") & ~x.rlike(r"[\p{Ll}\p{Lt}]")), n) > limits.capital_words,
         "lorem_ipsum": share(F.regexp_count(F.lower(t), F.lit("lorem ipsum")), chars) > limits.lorem_per_char,
-        "unique_words": share(F.size(F.array_distinct(F.transform(w, F.lower))), n) <= limits.unique_words,
+        "unique_words": (distinct(F.slice(w, F.lit(1), F.ceil(n / 4).cast("int"))) <= limits.unique_words) & (distinct(w) <= limits.unique_words),
         "bullet_lines": (rows > 0) & (share(having(p, lambda x: x.rlike(rf"^{c.SPACE}*[{BULLETS}]")), rows) > limits.bullet_lines),
-        "script_lines": (F.size(bare) > 3) & (having(bare, lambda x: ~x.contains("javascript")) < limits.plain_lines),
+        "script_lines": c.let(F.translate(t, c.PUNCTUATION, ""), scripts),
     }
     return {k: F.coalesce(v, F.lit(False)) for k, v in rules.items()}
 

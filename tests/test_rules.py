@@ -82,3 +82,10 @@ def test_image_limits(spark):
 def test_missing_columns_raise_before_a_job(spark):
     with pytest.raises(ValueError, match="missing columns: question"):
         rules.rule_filter(spark.range(1))
+
+
+def test_script_lines_are_split_once(spark):
+    text = F.col("id").cast("string")
+    words = spark.range(1).select(text.alias("t"), F.split(text, " ").alias("w"), F.split(text, "\n").alias("p"))
+    plan = words.select(rules.broken_rules("t", "w", "p")["script_lines"].alias("x"))._jdf.queryExecution().analyzed().treeString()
+    assert plan.splitlines()[0].count("split(") == 1
