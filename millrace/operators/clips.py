@@ -168,7 +168,7 @@ def clip_filter(
     c.require_columns(df, video, info, scene)
     path = c.first_item(video) if df.schema[video].dataType.typeName() == "array" else c.col(video)
     v, fps = c.col(info), c.col(info)["fps"]
-    stem = F.regexp_extract(path, r"([^/]+?)(?:(?<=[^/])\.[^./]*)?$", 1)
+    stem = F.col("_stem")
 
     def make(s: Column, k: Column) -> Column:
         first, last = F.floor(c.seconds(s["start"])).cast("double"), F.floor(c.seconds(s["end"])).cast("double")
@@ -206,7 +206,9 @@ def clip_filter(
 
     made = F.col("_made")
     missing = F.coalesce(path == "", F.lit(True))
-    rows = df.withColumn("_made", c.once(F.filter(F.transform(c.col(scene)["scenes"], make), inside))).withColumn(
+    # Once a row, not once a scene.
+    named = df.withColumn("_stem", c.once(F.regexp_extract(path, r"([^/]+?)(?:(?<=[^/])\.[^./]*)?$", 1)))
+    rows = named.withColumn("_made", c.once(F.filter(F.transform(c.col(scene)["scenes"], make), inside))).withColumn(
         output,
         F.struct(
             (~missing & made.isNotNull()).alias("success"),
@@ -214,7 +216,7 @@ def clip_filter(
             F.when(missing | made.isNull(), F.slice(made, 1, 0)).otherwise(made).alias("clips"),
         ),
     )
-    rows = rows.drop("_made")
+    rows = rows.drop("_made", "_stem")
     return rows.where(F.size(F.col(f"`{output}`.clips")) > 0) if drop_invalid_timestamps else rows
 
 

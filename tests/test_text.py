@@ -159,3 +159,10 @@ def test_parsers_write_each_step_once(spark, parse, piece, most):
     """A step that is copied into its users is computed anew for each of them."""
     plan = spark.range(1).select(parse(F.col("id").cast("string")).alias("q"))._jdf.queryExecution().analyzed().toString()
     assert 0 < plan.count(piece) <= most
+
+
+@pytest.mark.parametrize("sec,code", [(0.0004, "00:00:00.000"), (9.005, "00:00:09.005"), (359999.999, "99:59:59.999"), (4320000.25, "1200:00:00.250"), (None, "00:00:00.000")])
+def test_timecodes_are_padded_without_a_pattern(spark, sec, code):
+    made = c.timecode(F.lit(sec).cast("double"))
+    assert one(spark, made) == code
+    assert "format_string" not in spark.range(1).select(made)._jdf.queryExecution().analyzed().toString()
